@@ -75,93 +75,123 @@ def smallest_of_equal(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def named(ids: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(id, packed window starts) for entries in any order."""
-    if not len(ids):
-        return
-    order = np.lexsort((at, ids))
-    ids, at = ids[order], at[order]
-    edges = np.append(np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))), len(ids)).tolist()
-    for i, j in zip(edges, edges[1:]):
-        yield int(ids[i]), packed(at[i:j])
-
-
-def sent(batches, window: int, buckets: int):
-    """From (id, text): rows for buckets (hashes, ids, windows of each id, starts),
-    and, with bucket -1 - n, windows that are decided already."""
-    for batch in batches:
-        ids, hashes, counts = [], [], []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            h = window_hashes(word_hashes(shared.utf8(text).split()), window)
-            if len(h):
-                ids.append(LAST if i is None else i)
-                hashes.append(h)
-                counts.append(len(h))
-        if not ids:
-            continue
+def sent(batches, window: int, buckets: int, most: int = 1 << 20):
+    """From (id, text): rows for buckets (hashes, windows of each id, ids, starts), made
+    of about ``most`` windows or one longer text at a time; and, with bucket -1 - n,
+    windows that are decided already, for parts of the answer."""
+
+    def rows_of(ids, hashes, counts):
         counts = np.array(counts)
         h = np.concatenate(hashes)
         at = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
         who = np.repeat(np.array(ids, dtype=np.int64), counts)
+        doc = np.repeat(np.arange(len(ids)), counts)
         first = smallest_of_equal(h, who) == who
-        rows = [(-1 - i % buckets, b"", b"", packed(np.array([i])), starts) for i, starts in named(who[~first], at[~first])]
-        doc = np.repeat(np.arange(len(ids)), counts)[first]
-        h, at, who = h[first], at[first], who[first]
+        rows = [(-1 - k, *sealed) for k, sealed in parted(who[~first], at[~first], buckets)]
+        h, at, who, doc = h[first], at[first], who[first], doc[first]
         bucket = ((h >> np.uint64(48)) % np.uint64(buckets)).astype(np.uint32)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(edges)).tolist():
-            o = order[edges[b] : edges[b + 1]]
-            d = doc[o]
-            new = np.concatenate(([True], d[1:] != d[:-1]))
-            heads = np.flatnonzero(new)
-            a = at[o]
-            steps = np.diff(a, prepend=0)
-            steps[heads] = a[heads]
-            rows.append((b, low7(h[o]), packed(np.diff(np.append(heads, len(o)))), who[o][heads].tobytes(), packed(steps)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))],
-            ["bucket", "hashes", "counts", "ids", "starts"],
-        )
-
-
-def counted(batches):
-    """(id, starts) of windows that a smaller id has too; rows come sorted by bucket."""
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            o = order[edges[k] : edges[k + 1]]
+            rows.append((k, low7(h[o]), *run_lengths(doc[o], who[o], at[o])))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4))], ["bucket", "hashes", "counts", "ids", "starts"])
+
+    for batch in batches:
+        ids, hashes, counts = [], [], []
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            h = window_hashes(word_hashes(shared.utf8(text).split()), window)
+            if not len(h):
+                continue
+            if ids and sum(counts) + len(h) > most:
+                yield rows_of(ids, hashes, counts)
+                ids, hashes, counts = [], [], []
+            ids.append(LAST if i is None else i)
+            hashes.append(h)
+            counts.append(len(h))
+        if ids:
+            yield rows_of(ids, hashes, counts)
+
+
+def run_lengths(doc: np.ndarray, who: np.ndarray, at: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Packed lengths of runs of one document, their ids, and steps between starts."""
+    heads = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    steps = np.diff(at, prepend=0)
+    steps[heads] = at[heads]
+    return packed(np.diff(np.append(heads, len(doc)))), who[heads].tobytes(), packed(steps)
+
+
+def run_values(counts: bytes, ids: bytes, starts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(id, start) of every entry of ``run_lengths``."""
+    n, steps = unpacked(counts), unpacked(starts)
+    total = np.cumsum(steps)
+    heads = np.cumsum(n) - n
+    return np.repeat(np.frombuffer(ids, dtype=np.int64), n), total - np.repeat(total[heads] - steps[heads], n)
+
+
+def parted(who: np.ndarray, at: np.ndarray, parts: int) -> Iterator[tuple[int, tuple[bytes, bytes, bytes, bytes]]]:
+    """Entries sealed by the part of the answer, of ``parts``, that their id belongs to."""
+    part = (who.astype(np.uint64) * np.uint64(BASE) >> np.uint64(40)) % np.uint64(parts)
+    order = np.lexsort((at, who, part))
+    who, at, part = who[order], at[order], part[order]
+    edges = np.searchsorted(part, np.arange(parts + 1))
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        i, j = edges[k], edges[k + 1]
+        yield k, (b"", *run_lengths(who[i:j], who[i:j], at[i:j]))
+
+
+def counted(batches, parts: int):
+    """(part, counts, ids, starts): windows that a smaller id has too, a row for each part
+    of the answer; rows come sorted by bucket."""
+    who, at = [], []
 
     def decide(rows):
-        if not rows:
-            return
-        h, who, at = [], [], []
-        for hashes, counts, ids, starts in rows:
-            n, steps = unpacked(counts), unpacked(starts)
-            total = np.cumsum(steps)
-            heads = np.cumsum(n) - n
-            before = np.repeat(total[heads] - steps[heads], n)
-            h.append(from_low7(hashes))
-            who.append(np.repeat(np.frombuffer(ids, dtype=np.int64), n))
-            at.append(total - before)
-        h, who, at = np.concatenate(h), np.concatenate(who), np.concatenate(at)
-        more = who > smallest_of_equal(h, who)
-        yield from named(who[more], at[more])
-
-    def out(pairs):
-        pairs = list(pairs)
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.binary())], ["key", "starts"])
+        if rows:
+            h = np.concatenate([from_low7(r[0]) for r in rows])
+            ids, starts = (np.concatenate(x) for x in zip(*(run_values(*r[1:]) for r in rows)))
+            more = ids > smallest_of_equal(h, ids)
+            who.append(ids[more])
+            at.append(starts[more])
 
     held, bucket = [], None
     for batch in batches:
-        known = []
-        for b, hashes, counts, ids, starts in zip(*(c.to_pylist() for c in batch.columns)):
+        for b, *row in zip(*(c.to_pylist() for c in batch.columns)):
             if b < 0:
-                known.append((int(unpacked(ids)[0]), starts))
+                ids, starts = run_values(*row[1:])
+                who.append(ids)
+                at.append(starts)
                 continue
             if b != bucket:
-                yield out(decide(held))
+                decide(held)
                 held, bucket = [], b
-            held.append((hashes, counts, ids, starts))
-        if known:
-            yield out(known)
-    yield out(decide(held))
+            held.append(row)
+    decide(held)
+    rows = [(k, *sealed[1:]) for k, sealed in parted(np.concatenate(who), np.concatenate(at), parts)] if who else []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 3))], ["part", "counts", "ids", "starts"])
+
+
+def gathered(batches):
+    """(key, found): all named windows of a document; rows come sorted by part."""
+
+    def out(rows):
+        ids, starts = (np.concatenate(x) for x in zip(*(run_values(*r) for r in rows)))
+        order = np.lexsort((starts, ids))
+        ids, starts = ids[order], starts[order]
+        edges = np.append(np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))), len(ids))
+        found = [packed(np.unique(starts[i:j])) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(ids[edges[:-1]]), pa.array(found, pa.binary())], ["key", "found"])
+
+    held, part = [], None
+    for batch in batches:
+        for p, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if p != part:
+                if held:
+                    yield out(held)
+                held, part = [], p
+            held.append(row)
+    if held:
+        yield out(held)
 
 
 def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -169,15 +199,15 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int) -
     buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     made = rows.mapInArrow(lambda x: sent(x, window, buckets), "bucket long, hashes binary, counts binary, ids binary, starts binary")
-    told = made.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(counted, "key long, starts binary")
-    return told.groupBy("key").agg(F.collect_list("starts").alias("found"))
+    told = made.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda x: counted(x, buckets), "part long, counts binary, ids binary, starts binary")
+    return told.repartition("part").sortWithinPartitions("part").mapInArrow(gathered, "key long, found binary")
 
 
-def intervals(found: list[bytes] | None, n_words: int, window: int) -> list[tuple[int, int]]:
+def intervals(found: bytes | None, n_words: int, window: int) -> list[tuple[int, int]]:
     """Maximal half-open word intervals that the windows cover."""
     if not found:
         return []
-    starts = np.unique(np.concatenate([unpacked(x) for x in found]))
+    starts = unpacked(found)
     starts = starts[starts + window <= n_words]
     if not len(starts):
         return []
