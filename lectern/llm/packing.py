@@ -9,8 +9,12 @@ shuffled and one sequence a partition at most is left unfilled.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import shared
 
-_ENCODERS: dict[str, Callable[[str | None], np.ndarray]] = {}
+_ENCODERS: dict[str, WordEncoder] = {}
 
 
 @dataclass(frozen=True)
@@ -33,34 +37,80 @@ class Limits:
     loss: int = 4096
 
 
-def word_encoder(path: str, most: int = 400_000) -> Callable[[str | None], np.ndarray]:
-    """Token ids of a text under a tokenizers file whose pre-tokenizer parts words at
-    white space: each word between ASCII white space is encoded once and remembered
-    (at most ``most`` words), which gives the ids of the whole text."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[bytes, bytes] = {}
-
-    def encode(text: str | None) -> np.ndarray:
-        words = shared.utf8(text).split()
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > most:
-                known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4")
-
-    return encode
-
-
-def encoder(path: str) -> Callable[[str | None], np.ndarray]:
+def byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable bytes for
+    themselves, the others, in order, from code point 256 on.  A space stays one."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + others.index(b)) for b in others if b != 0x20}
+
+
+class WordEncoder(dict):
+    """Token ids of texts under a tokenizers file whose pre-tokenizer parts words at
+    white space.  Maps a word between ASCII white space to its ids as bytes: each is
+    encoded once and remembered (at most ``most`` words), and the ids of a text are those
+    of its words.
+
+    Most words are lower-case Latin letters and a tail of ASCII punctuation.  Where the
+    file's normalizer and pre-tokenizer are known to leave the letters as they are and to
+    part the tail from them, such words go to the file's model directly."""
+
+    SIMPLE = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.most = most
+        self.letters = byte_letters()
+        self.tails: dict[bytes, bytes] = {b"": b""}
+        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        config = json.loads(self.tokenizer.to_str())
+        steps = [[x["type"] for x in (config[k] or {}).get(n, [])] for k, n in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        self.lower = steps == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] and not any(self.SIMPLE.fullmatch(b"a" + x) for x in self.specials)
+        if self.lower:
+            trial = [b"word", b"stra\xc3\x9fe,", b"\xc3\xa9t\xc3\xa9...", b"a-'"]
+            self.lower = all(self[w] == self.whole(w) for w in trial)
+            self.clear()
+
+    def whole(self, word: bytes) -> bytes:
+        ids = self.tokenizer.encode_batch_fast([word.decode()], add_special_tokens=False)[0].ids
+        return array("I", ids).tobytes()
+
+    def piece(self, word: bytes) -> bytes:
+        text = word.decode() if word.isascii() else word.decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        m = self.SIMPLE.fullmatch(word) if self.lower else None
+        if m:
+            tail = self.tails.get(m[2])
+            if tail is None:
+                tail = self.piece(m[2])
+                if len(self.tails) < 10_000:
+                    self.tails[m[2]] = tail
+            ids = self.piece(m[1]) + tail
+        else:
+            ids = self.whole(word)
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def words(self, text: str | None) -> list[bytes]:
+        data = shared.utf8(text)
+        return (data.lower() if self.lower and not any(x[:2] in data for x in self.specials) else data).split()
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, self.words(text))), dtype="<u4")
+
+
+def encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = word_encoder(path)
+        _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 
 
