@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm import shared
+
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|</([a-zA-Z][^\s/>]*)[^>]*>"
@@ -340,7 +342,7 @@ def extract_group(sources: list[str | None]) -> list[str]:
     return [main_text(p, t) for p, t in zip(pages, templates(pages))]
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, group: int = 32, salt_over: int = 2048) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, group: int = 32, salt_over: int = 2048, broadcast_hosts: int = 50_000) -> DataFrame:
     """(id, url, text, n_chars): the main text of every page.
 
     A host's pages are taken in groups of ``group``; a host of over ``salt_over`` pages is
@@ -352,7 +354,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
-    large = rows.groupBy("host").count().where(F.col("count") > salt_over).select("host", F.ceil(F.col("count") / salt_over).cast("long").alias("n"))
+    large = shared.cut(rows.groupBy("host").count().where(F.col("count") > salt_over).select("host", F.ceil(F.col("count") / salt_over).cast("long").alias("n")), "hosts")
+    # Up to broadcast_hosts large hosts are sent to all tasks, which saves a shuffle of the pages; more are joined.
+    large = F.broadcast(large) if large.count() <= broadcast_hosts else large
     dealt = rows.join(large, "host", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("n", F.lit(1)))).select("host", "salt", "id", "url", "html")
     id_kind = rows.schema["id"].dataType.simpleString()
 
