@@ -35,7 +35,7 @@ class Settings:
     grams: tuple[int, ...] = (3, 4)
     epochs: int = 4
     rate: float = 0.5
-    sample: int = 12_000
+    sample: int = 8000
     threshold: float = 0.7
     seed: int = 7
 
@@ -104,7 +104,7 @@ def train(texts: list[str | None], labels: list[int], s: Settings) -> tuple[np.n
     for text in texts:
         f = features(text, s)
         at, n = np.unique(f, return_counts=True)
-        rows.append((at, (n / max(1, len(f))).astype(np.float32)))
+        rows.append((at.astype(np.int32), (n / max(1, len(f))).astype(np.float32)))
     vectors = draw.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
     out = np.zeros((s.dim, 2), dtype=np.float32)
     bias = np.zeros(2, dtype=np.float32)
