@@ -1,4 +1,8 @@
 """Queries by name, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from lectern.plans import text
+from lectern.plans.dialect import duck_sql, query
+
+PLANS = {**text.PLANS}
+QUERIES = {name: query(plan) for name, plan in PLANS.items()}
+ORACLE = {name: duck_sql(plan) for name, plan in PLANS.items()}
