@@ -4,7 +4,8 @@ A plan is SQL in which ``@[a@|b@]`` gives ``a`` to Spark and ``b`` to DuckDB, an
 words differ by rule: RX(x, p, r) replaces all matches, MATCH(x, p) tests for one, SPLIT
 splits by a pattern, SIZE is an array's length, FILTER(a, FN x: c) keeps elements,
 PCT(x, p) is an exact interpolated percentile, DIV divides integers, R'..' is a string
-in which a backslash is one.
+in which a backslash is one.  Row numbers and
+conditional counts are BIGINT in both.
 """
 
 from __future__ import annotations
@@ -43,8 +44,18 @@ def _chosen(plan: str, side: int) -> str:
     return plan
 
 
+def _cast(sql: str, head: str) -> str:
+    """Every call that begins with ``head``, which ends in an open bracket, as BIGINT."""
+    at = 0
+    while (at := sql.find(head, at)) >= 0:
+        end = _close(sql, at + len(head) - 1)
+        sql = f"{sql[:at]}CAST({sql[at : end + 1]} AS BIGINT){sql[end + 1 :]}"
+        at += len("CAST(") + len(head)
+    return sql
+
+
 def spark_sql(plan: str) -> str:
-    sql = _chosen(plan, 1)
+    sql = _cast(_chosen(plan, 1), "row_number() OVER (")
     for word, name in (("RX", "regexp_replace"), ("MATCH", "regexp_like"), ("SPLIT", "split"), ("SIZE", "size"), ("FILTER", "filter"), ("PCT", "percentile")):
         sql = re.sub(rf"\b{word}\(", f"{name}(", sql)
     sql = re.sub(r"\bFN (\w+):", r"\1 ->", sql)
@@ -52,7 +63,7 @@ def spark_sql(plan: str) -> str:
 
 
 def duck_sql(plan: str) -> str:
-    sql = _chosen(plan, 2)
+    sql = _cast(_chosen(plan, 2), "count_if(")
     while m := re.search(r"\bRX\(", sql):
         end = _close(sql, m.end() - 1)
         sql = f"{sql[: m.start()]}regexp_replace({sql[m.end() : end]}, 'g'){sql[end + 1 :]}"
