@@ -78,10 +78,11 @@ def window_links(rows: DataFrame, width: int, p: Passes) -> DataFrame:
             left, right = [], []
             for d in range(1, min(p.window, len(x) - 1) + 1):
                 near = np.flatnonzero((np.einsum("ij,ij->i", x[:-d], x[d:]) >= p.cosine) & (at[:-d] == at[d:]))
-                left.append(node[near])
-                right.append(node[near + d])
+                left.append(near)
+                right.append(near + d)
             if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+                a, b = shared.stars(node, np.concatenate(left), np.concatenate(right))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
             held, names, ids = x[-p.window :], at[-p.window :], node[-p.window :]
 
     return rows.mapInArrow(run, "a long, b long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,21 @@ def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def stars(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (id, smallest id) that join what the links between rows i and j join, at
+    most one a row: a bounded batch sends no more than it has read."""
+    label = ids.copy()
+    while True:
+        least = np.minimum(label[i], label[j])
+        before = label.copy()
+        np.minimum.at(label, i, least)
+        np.minimum.at(label, j, least)
+        if (before == label).all():
+            break
+    pairs = np.unique(np.stack([ids, label], axis=1)[ids != label], axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, component) for every node on an edge; component is the smallest
     node that links reach.

@@ -181,8 +181,8 @@ def streamed_links(batches, parts: int, radius: int):
     kept, keys = None, None
 
     def out(prints, ids, runs):
-        i, j = run_links(prints, runs, radius)
-        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
+        a, b = shared.stars(ids, *run_links(prints, runs, radius))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
