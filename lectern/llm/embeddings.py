@@ -59,7 +59,7 @@ def keyed(vectors: DataFrame, width: int, p: Passes) -> DataFrame:
                     key = ((x @ drawn[k].T) > 0).astype(np.int64) @ weights
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k)), pa.array(key), part.column(0), part.column(1)], ["pass", "key", "node", "v"])
 
-    return vectors.mapInArrow(run, "pass long, key long, node long, v array<double>")
+    return vectors.mapInArrow(run, f"pass long, key long, node long, v {vectors.schema['v'].dataType.simpleString()}")
 
 
 def window_links(rows: DataFrame, width: int, p: Passes) -> DataFrame:
@@ -150,7 +150,9 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     vector; a null id links, is never the smallest unless all are null, and is not kept.
     An empty table gives an empty result; other columns are not used.
     """
-    v = F.col(vector_col).cast("array<double>")
+    kind = rows.schema[vector_col].dataType
+    # Floats travel as floats; every cosine is computed in double precision.
+    v = F.col(vector_col) if kind.simpleString() == "array<float>" else F.col(vector_col).cast("array<double>")
     top = F.array_max(F.transform(v, F.abs))
     fit = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (top > 0)
     named = rows.select(F.col(id_col).cast("long").alias("id"), F.when(fit, v).alias("v"))
