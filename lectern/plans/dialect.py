@@ -2,7 +2,7 @@
 
 A plan is SQL in which ``@[a@|b@]`` gives ``a`` to Spark and ``b`` to DuckDB, and these
 words differ by rule: RX(x, p, r) replaces all matches, MATCH(x, p) tests for one, SPLIT
-splits by a pattern, SIZE is an array's length, FILTER(a, FN x: c) keeps elements,
+splits by a pattern, SIZE is an array's length, FILTER(a, FN x: c) keeps elements, MAP(a, FN x: e) maps them,
 PCT(x, p) is an exact interpolated percentile, DIV divides integers, R'..' is a string
 in which a backslash is one.  Row numbers and
 conditional counts are BIGINT in both.
@@ -56,7 +56,7 @@ def _cast(sql: str, head: str) -> str:
 
 def spark_sql(plan: str) -> str:
     sql = _cast(_chosen(plan, 1), "row_number() OVER (")
-    for word, name in (("RX", "regexp_replace"), ("MATCH", "regexp_like"), ("SPLIT", "split"), ("SIZE", "size"), ("FILTER", "filter"), ("PCT", "percentile")):
+    for word, name in (("RX", "regexp_replace"), ("MATCH", "regexp_like"), ("SPLIT", "split"), ("SIZE", "size"), ("FILTER", "filter"), ("MAP", "transform"), ("PCT", "percentile")):
         sql = re.sub(rf"\b{word}\(", f"{name}(", sql)
     sql = re.sub(r"\bFN (\w+):", r"\1 ->", sql)
     return re.sub(r"\bR'", "r'", sql).replace(" DIV ", " div ")
@@ -67,7 +67,7 @@ def duck_sql(plan: str) -> str:
     while m := re.search(r"\bRX\(", sql):
         end = _close(sql, m.end() - 1)
         sql = f"{sql[: m.start()]}regexp_replace({sql[m.end() : end]}, 'g'){sql[end + 1 :]}"
-    for word, name in (("MATCH", "regexp_matches"), ("SPLIT", "string_split_regex"), ("SIZE", "len"), ("FILTER", "list_filter"), ("PCT", "quantile_cont")):
+    for word, name in (("MATCH", "regexp_matches"), ("SPLIT", "string_split_regex"), ("SIZE", "len"), ("FILTER", "list_filter"), ("MAP", "list_transform"), ("PCT", "quantile_cont")):
         sql = re.sub(rf"\b{word}\(", f"{name}(", sql)
     sql = re.sub(r"\bFN (\w+):", r"lambda \1:", sql)
     return re.sub(r"\bR'", "'", sql).replace(" DIV ", " // ")
