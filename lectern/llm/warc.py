@@ -139,7 +139,7 @@ def archives(rows: DataFrame, archive_bytes: int = 1 << 22) -> DataFrame:
                 if machine and size + len(data) > archive_bytes:
                     yield close()
                     machine, parts, size = None, [], 0
-                machine = machine or zlib.compressobj(6, zlib.DEFLATED, 31)
+                machine = machine or zlib.compressobj(1, zlib.DEFLATED, 31)  # it is read once and rewritten
                 parts.append(machine.compress(data))
                 size += len(data)
         if machine:
@@ -203,4 +203,4 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     one id all responses.  An empty table gives no archive; other columns are not used.
     """
     monoliths = archives(decided(pages, id_col, url_col, html_col, least_bytes))
-    return shared.cut(normalised(shared.cut(monoliths, "monoliths")), "archives")
+    return shared.cut(normalised(monoliths), "archives")
