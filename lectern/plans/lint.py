@@ -16,10 +16,13 @@ ROWS = f"""(SELECT doc, i, CAST(16 * secs + pk % 40 AS DOUBLE) AS chars, CASE WH
   CASE WHEN sk % 43 = 0 THEN 0.001 ELSE 0.0 END AS clip_frac, CASE WHEN sk % 47 = 0 THEN -0.03 ELSE 0.0 END AS dc, pk % 59 <> 0 AS src_known, pk, sk FROM {CHUNKS} c)"""
 
 
+CLEAN = "NOT is_empty AND NOT absent AND src_known AND chars >= 40 AND speakable_frac >= 0.95 AND math_frac <= 0.002 AND digit_frac <= 0.05"
+
+
 def model() -> str:
     """CTEs m0 .. m3: least squares, and up to three times what lies within 4 MAD of the median residual."""
     fit = "regr_slope(secs, chars) AS a, regr_intercept(secs, chars) AS b"
-    ctes = [f"x0 AS (SELECT chars, secs FROM {ROWS} r WHERE NOT is_empty AND NOT absent AND src_known AND chars >= 40 AND speakable_frac >= 0.95 AND math_frac <= 0.002 AND digit_frac <= 0.05)"]
+    ctes = [f"x0 AS (SELECT chars, secs FROM {ROWS} r WHERE {CLEAN})"]
     for k in range(3):
         ctes += [
             f"f{k} AS (SELECT {fit} FROM x{k})",
@@ -56,9 +59,14 @@ PAIRS = "(SELECT u.conv_id AS doc, u.turn AS i, u.text AS src, a.text AS heard F
 HASH = "substr(sha1({0}), 1, 12)"
 METRICS = ["chars", "secs", "dur_ratio", "cps", "silence_frac", "max_gap", "math_frac", "digit_frac"]
 
+#: As SQL the trimming unrolls into a tree that reads its input many times; it is the
+#: oracle only, and ``lectern.operators.duration`` runs the steps one by one.
+MODEL_SQL = {
+    "duration_model": f"{model()} SELECT round(a, 7) AS a, round(b, 6) AS b, n FROM model",
+    "predicted_seconds": f"{model()} SELECT doc, i, round(greatest(0.35, a * chars + b), 4) AS pred_secs FROM {ROWS} r CROSS JOIN model",
+}
+
 PLANS = {
-    "duration_model": f"{model()} SELECT round(a, 8) AS a, round(b, 7) AS b, n FROM model",
-    "predicted_seconds": f"{model()} SELECT doc, i, round(greatest(0.35, a * chars + b), 5) AS pred_secs FROM {ROWS} r CROSS JOIN model",
     "tier1_classify": f"SELECT doc, i, cls, CASE WHEN is_empty THEN 'empty' WHEN absent THEN 'absent' ELSE {FLAGS} END AS flags, dur_ratio, cps FROM {TIER1} t",
     "tier2_adjudicate": f"SELECT doc, i, cls AS before, {TIER2} AS cls FROM {ASR} t",
     "lint_rollup": ROLLUP,

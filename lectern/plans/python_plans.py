@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import chunks, speech
-from lectern.operators import alignment, layout, notes
+from lectern.operators import alignment, duration, layout, notes
+from lectern.plans import dialect, lint
 from lectern.streaming import jobs
 
 
@@ -105,6 +106,21 @@ def compared_words(spark, sf_dir):
     return opened(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha1(words("text")).alias("words_sha1"))
 
 
+def lint_rows(spark, sf_dir, only: str = "TRUE"):
+    return dialect.run(spark, sf_dir, f"SELECT doc, i, chars, secs FROM {lint.ROWS} r WHERE {only}")
+
+
+def duration_model(spark, sf_dir):
+    m = duration.fit(lint_rows(spark, sf_dir, lint.CLEAN))
+    return spark.range(1).select(F.round(F.lit(m.a), 7).alias("a"), F.round(F.lit(m.b), 6).alias("b"), F.lit(m.n).cast("long").alias("n"))
+
+
+def predicted_seconds(spark, sf_dir):
+    m = duration.fit(lint_rows(spark, sf_dir, lint.CLEAN))
+    rows = lint_rows(spark, sf_dir)
+    return rows.select("doc", "i", F.round(duration.predicted(rows, m), 4).alias("pred_secs"))
+
+
 def title_recase(spark, sf_dir):
     """Upper-cased titles of pages in the spellings of the page's own text."""
 
@@ -141,7 +157,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_rows, chunk_plan, chunk_quote, chunk_rate_flag, sentence_span_rows, needle_token_rows, token_alignment, alignment_confidence, edit_op_summary, note_reanchor_fuzzy, baseline_rows,
-        unicode_text, repairable_tokens, spoken_numbers, compared_words, title_recase, title_rejoin, stream_latest_state, stream_progress,
+        unicode_text, repairable_tokens, spoken_numbers, compared_words, title_recase, title_rejoin, duration_model, predicted_seconds, stream_latest_state, stream_progress,
     )
 }
 
@@ -149,6 +165,5 @@ QUERIES = {
 ORACLE = {
     "stream_latest_state": "SELECT user_id AS doc, event_type AS state FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) e WHERE rn = 1",
     "stream_progress": "SELECT user_id AS doc, count(*) AS seen, CAST(least(99, (100 * count(CASE WHEN event_type = 'view' THEN 1 END)) // count(*)) AS BIGINT) AS pct FROM events GROUP BY user_id",
-    "title_rejoin": None,
+    **{name: dialect.duck_sql(plan) for name, plan in lint.MODEL_SQL.items()},
 }
-ORACLE = {k: v for k, v in ORACLE.items() if v}
