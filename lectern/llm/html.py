@@ -342,7 +342,7 @@ def extract_group(sources: list[str | None]) -> list[str]:
     return [main_text(p, t) for p, t in zip(pages, templates(pages))]
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, group: int = 32, salt_over: int = 2048, broadcast_hosts: int = 50_000) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, group: int = 32, salt_over: int = 512, broadcast_hosts: int = 50_000) -> DataFrame:
     """(id, url, text, n_chars): the main text of every page.
 
     A host's pages are taken in groups of ``group``; a host of over ``salt_over`` pages is
