@@ -5,9 +5,10 @@ Parquet and read again as the next one's input.
 
 * quality classifier: rows predicted 0 go.
 * SimHash near-dedup: five-word shingles; of each group the smallest doc_id stays.
-  Similarity is read off 256-bit fingerprints: bits of two texts of Jaccard
-  similarity 0.8 differ with probability 0.151, so 39 of 256 on average with a
-  standard deviation of 6; the radius of 46 keeps misses at 0.8 low.
+  256-bit fingerprints find who is compared: bits of two texts of Jaccard similarity
+  0.8 differ with probability 0.151, so 39 of 256 on average with a standard
+  deviation of 6; the radius of 56 lies three of these beyond.  The shingle sets of
+  what it joins are then compared, and a similarity of 0.8 or more links.
 * substring dedup: of a passage of 50 words or more that repeats, the copy in the
   smallest doc_id stays; elsewhere its words and the white space after them go.
 * benchmark decontamination: documents that hold a benchmark item go.
@@ -39,7 +40,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = simhash.near_duplicates(docs, size=5, seed=42, radius=46, parts=4, tables=48, key_bits=16)
+    classes = simhash.near_duplicates(docs, size=5, seed=42, radius=56, parts=4, tables=48, key_bits=16, similarity=0.8)
     copies = classes.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("doc_id")).distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
 

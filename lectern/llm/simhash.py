@@ -41,28 +41,32 @@ def shingle_hashes(words: list[bytes], size: int, seed: int) -> Iterator[np.ndar
         yield np.array([hashed(text[i:j], seed) for i, j in zip(starts[: len(some) - k + 1].tolist(), ends[k - 1 :].tolist())], dtype=np.uint64)
 
 
-def fingerprint(text: str | None, size: int = 4, seed: int = 42, parts: int = 1) -> list[int]:
+def fingerprint(text: str | None, size: int = 4, seed: int = 42, parts: int = 1, distinct: bool = False) -> list[int]:
     """``parts`` unsigned 64-bit numbers: bit i is 1 if set in over half of the
     shingles' hashes.  Only A-Z is lower-cased; words are parted by ASCII white
-    space.  Part p hashes with seed + p."""
+    space.  Part p hashes with seed + p; ``distinct`` counts a repeated shingle once."""
     words = shared.utf8(text).lower().split()
     out = []
     for p in range(parts):
         ones, n = np.zeros(64, dtype=np.int64), 0
-        for h in shingle_hashes(words, size, seed + p):
+        runs = shingle_hashes(words, size, seed + p)
+        if distinct and words:
+            every = np.unique(np.concatenate(list(runs)))
+            runs = (every[k : k + CHUNK] for k in range(0, len(every), CHUNK))
+        for h in runs:
             ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
             n += len(h)
         out.append(int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little"))
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 4, seed: int = 42, parts: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 4, seed: int = 42, parts: int = 1, distinct: bool = False) -> DataFrame:
     """(id, f0, f1, ...): signed 64-bit words of each row's fingerprint."""
     names = [f"f{p}" for p in range(parts)]
 
     def run(batches):
         for batch in batches:
-            prints = np.array([fingerprint(t, size, seed, parts) for t in batch.column(1).to_pylist()], dtype=np.uint64).reshape(-1, parts).view(np.int64)
+            prints = np.array([fingerprint(t, size, seed, parts, distinct) for t in batch.column(1).to_pylist()], dtype=np.uint64).reshape(-1, parts).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(prints[:, p]) for p in range(parts))], ["id", *names])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -245,8 +249,94 @@ def near_links(nodes: DataFrame, masks: list[list[int]], radius: int, *, block:
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda batches: streamed_links(batches, parts, radius), "a long, b long")
 
 
+def similar_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, root) that join what all pairs of Jaccard ``similarity`` join:
+    breadth first over rows sorted by size, every row once a query against those not
+    reached whose size allows the similarity.  Sets are distinct and not empty."""
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    codes = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)[1]
+    n_codes = int(codes.max()) + 1
+    size = np.array([len(sets[k]) for k in order])
+    start = np.concatenate(([0], np.cumsum(size)))
+    row_of, open_ = order, np.ones(len(order), dtype=bool)
+    rows, roots = [], []
+    for first in order:
+        if not open_[row_of == first].any():
+            continue
+        queue = [(first, sets[first])]
+        open_[row_of == first] = False
+        own = {int(first): codes[start[at] : start[at + 1]] for at in np.flatnonzero(row_of == first)}
+        while queue and open_.any():
+            row, values = queue.pop()
+            lo = np.searchsorted(size, similarity * len(values) - 1e-9)
+            hi = np.searchsorted(size, len(values) / similarity + 1e-9, side="right")
+            if lo == hi or not open_[lo:hi].any():
+                continue
+            mark = np.zeros(n_codes, dtype=np.int32)
+            mark[own.pop(int(row))] = 1
+            both = np.add.reduceat(mark[codes[start[lo] : start[hi]]], start[lo:hi] - start[lo])
+            hit = lo + np.flatnonzero(open_[lo:hi] & (both * (1 + similarity) >= similarity * (size[lo:hi] + len(values)) - 1e-9))
+            open_[hit] = False
+            for at in hit:
+                own[int(row_of[at])] = codes[start[at] : start[at + 1]]
+                queue.append((row_of[at], sets[row_of[at]]))
+            rows += row_of[hit].tolist()
+            roots += [int(first)] * len(hit)
+        if 2 * open_.sum() < len(open_):
+            if not open_.any():
+                break
+            codes = codes[np.repeat(open_, size)]
+            row_of, size = row_of[open_], size[open_]
+            start, open_ = np.concatenate(([0], np.cumsum(size))), np.ones(len(size), dtype=bool)
+    return np.array(rows, dtype=np.int64), np.array(roots, dtype=np.int64)
+
+
+def shingle_set(text: str | None, size: int, seed: int) -> np.ndarray:
+    """Sorted distinct XXH64 of a text's shingles."""
+    found = list(shingle_hashes(shared.utf8(text).lower().split(), size, seed))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+
+
+def checked_links(docs: DataFrame, labels: DataFrame, size: int, seed: int, similarity: float, *, rows: int = 2048, hashes: int = 1 << 21) -> DataFrame:
+    """(a, b) links between ids whose texts reach ``similarity``, for every pair of a
+    component of ``labels`` (node, component).  A component beyond ``rows`` rows or
+    ``hashes`` shingles is dealt out as pairs of blocks, each of about that size."""
+
+    def sets(batches):
+        for batch in batches:
+            found = [shingle_set(t, size, seed) for t in batch.column(2).to_pylist()]
+            columns = [batch.column(0), batch.column(1), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["c", "id", "hashes", "n_hashes"])
+
+    def links(ids: list[int], found: list[bytes]):
+        at = np.array(ids, dtype=np.int64)
+        a, b = shared.stars(at, *similar_links([np.frombuffer(x, dtype=np.uint64) for x in found], similarity))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def compare(batches):
+        key, ids, found = None, [], []
+        for batch in batches:
+            for c, i, j, row, values in zip(*(col.to_pylist() for col in batch.columns)):
+                if key != (c, i, j):
+                    if len(ids) > 1:
+                        yield links(ids, found)
+                    key, ids, found = (c, i, j), [], []
+                ids.append(row)
+                found.append(values)
+        if len(ids) > 1:
+            yield links(ids, found)
+
+    texts = docs.join(labels, docs["id"] == labels["node"]).select(F.col("component").alias("c"), "id", "text")
+    some = shared.cut(texts.mapInArrow(sets, "c long, id long, hashes binary, n_hashes long").where("n_hashes > 0"), "sets")
+    large = some.groupBy("c").agg(F.ceil(F.greatest(F.count("*") / rows, F.sum("n_hashes") / hashes)).cast("int").alias("n")).where("n > 1")
+    dealt = some.join(large, "c", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select("c", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "id", "hashes")
+    return dealt.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 4, seed: int = 42, radius: int = 4, parts: int = 1, tables: int | None = None, key_bits: int = 16
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 4, seed: int = 42, radius: int = 4, parts: int = 1, tables: int | None = None, key_bits: int = 16, similarity: float | None = None
 ) -> DataFrame:
     """(id, f0.., component_id): SimHash of each row and the smallest id that links
     of at most ``radius`` differing bits reach.
@@ -254,16 +344,25 @@ def near_duplicates(
     With one part and no ``tables`` every pair within the radius meets.  Wider
     fingerprints meet under ``tables`` masks of ``key_bits`` random places.
 
+    With ``similarity``, links of fingerprints only say who is compared: the texts of
+    each component are then compared by the Jaccard similarity of their sets of
+    shingles, and what reaches it links, as do rows of one fingerprint.  Fingerprints
+    are of the distinct shingles then, and rows with a null id are left out.
+
     Null and empty texts have the fingerprint zero and link like any other.
     Repeated rows stay rows; equal ids count as one document.  A null id links
     and takes its group's smallest id, null if all there are null.  An empty
     table gives an empty result; other columns are not looked at.
     """
     names = [f"f{p}" for p in range(parts)]
-    prints = shared.cut(fingerprints(docs, id_col, text_col, size=size, seed=seed, parts=parts).withColumn("id", F.col("id").cast("long")), "prints")
+    prints = fingerprints(docs, id_col, text_col, size=size, seed=seed, parts=parts, distinct=similarity is not None).withColumn("id", F.col("id").cast("long"))
+    prints = shared.cut(prints if similarity is None else prints.where("id IS NOT NULL"), "prints")
     nodes = shared.cut(prints.groupBy(*names).agg(F.min("id").alias("least")).withColumn("node", F.coalesce("least", F.xxhash64(*names))), "nodes")
     masks = [[m] for m in block_masks(radius)] if tables is None else sampled_masks(parts, key_bits, tables, seed)
     labels = shared.components(near_links(nodes.select("node", *names), masks, radius))
+    if similarity is not None:
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        labels = shared.components(checked_links(texts, shared.cut(labels, "labels"), size, seed, similarity))
     joined = nodes.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
     least = joined.groupBy("c").agg(F.min("least").alias("component_id"))
     classes = joined.join(least, "c").select(*names, "component_id")

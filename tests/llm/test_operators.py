@@ -146,6 +146,52 @@ def test_bit_sliced_counters_equal_popcounts():
         assert near.tolist() == np.flatnonzero(np.bitwise_count(x ^ x[0]).sum(axis=1) <= radius).tolist()
 
 
+def test_similar_sets_join_as_all_pairs_do():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        base = [rng.integers(0, 1000, rng.integers(3, 60)) for _ in range(5)]
+        sets = []
+        for _ in range(rng.integers(2, 40)):
+            x = base[rng.integers(5)].copy()
+            n = rng.integers(0, 6)
+            x[rng.integers(0, len(x), n)] = rng.integers(0, 1000, n)
+            sets.append(np.unique(x).astype(np.uint64))
+        alike = [(i, j) for i in range(len(sets)) for j in range(i) if 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))]
+        a, b = simhash.similar_links(sets, 0.8)
+        assert len(a) < len(sets)
+        assert groups(len(sets), list(zip(a.tolist(), b.tolist()))) == groups(len(sets), alike)
+
+
+def test_checked_links_join_only_similar_texts(spark):
+    rng = random.Random(8)
+    base = [words(rng, 80).split() for _ in range(6)]
+    texts = []
+    for k in range(120):
+        w = list(base[k % 6])
+        for _ in range(k // 12):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(9)}"
+        texts.append(" ".join(w))
+    texts += ["", None, "one two"]
+    docs = spark.createDataFrame([(3 * i, t) for i, t in enumerate(texts)], "id long, text string")
+    sets = [set(simhash.shingle_set(t, 5, 42).tolist()) for t in texts]
+    links = [(i, j) for i in range(120) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    want = groups(len(texts), links)
+    labels = spark.createDataFrame([(3 * i, 0) for i in range(len(texts))], "node long, component long")
+    for block in (16, 2048):
+        got = list(range(len(texts)))
+        for r in shared.components(simhash.checked_links(docs, labels, 5, 42, 0.8, rows=block)).collect():
+            got[r.node // 3] = r.component // 3
+        assert got == want
+
+
+def test_checked_near_duplicates_on_awkward_tables(awkward, empty):
+    settings = {"size": 5, "radius": 56, "parts": 4, "tables": 48, "similarity": 0.8}
+    rows = simhash.near_duplicates(awkward, **settings).collect()
+    assert len(rows) == awkward.where("doc_id IS NOT NULL").count()
+    assert {r.component_id for r in rows if r.id in (0, 1, 2)} == {0} and {r.component_id for r in rows if r.id in (3, 4, 5, 9)} == {3}
+    assert simhash.near_duplicates(empty, **settings).count() == 0
+
+
 def test_blocks_of_a_large_bucket_link_like_one(spark):
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 1 << 20, 300).astype(np.int64)

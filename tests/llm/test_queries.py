@@ -57,7 +57,7 @@ def test_near_dedup_stage_against_all_pairs(stages):
     alike = {(a, b): n / (len(sets[a]) + len(sets[b]) - n) for (a, b), n in pairs.items()}
     near = [p for p, j in alike.items() if j >= 0.85]
     assert near and sum(a in after and b in after for a, b in near) <= 0.02 * len(near)
-    touched = {i for (a, b), j in alike.items() if j >= 0.5 for i in (a, b)}
+    touched = {i for (a, b), j in alike.items() if j >= 0.8 for i in (a, b)}
     assert all(i in after for i in ids if i not in touched and before[i].strip())
 
 
