@@ -1,5 +1,8 @@
 """Every plan of the registry: Spark and DuckDB give the same rows, and most give some."""
 
+import collections
+import re
+
 import oracle
 import pytest
 
@@ -20,6 +23,19 @@ def test_python_plan_has_rows(spark, sf_dir, name):
     assert registry.QUERIES[name](spark, sf_dir).limit(1).count() == 1
 
 
+def n_sentences(text):
+    """Sentences end at . ! ? before white space."""
+    return len(re.split(r"(?<=[.!?])\s+", text))
+
+
+def test_speech_rewrite_all_returns_every_sentence(spark, sf_dir):
+    want = {r.doc_id: n_sentences(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = collections.defaultdict(set)
+    for r in registry.QUERIES["speech_rewrite_all"](spark, sf_dir).collect():
+        got[r.doc_id].add(r.sn)
+    assert max(want.values()) > 16 and got == {i: set(range(1, n + 1)) for i, n in want.items()}
+
+
 def test_entry(spark):
     import __spark_entry__
 
