@@ -36,6 +36,15 @@ def test_speech_rewrite_all_returns_every_sentence(spark, sf_dir):
     assert max(want.values()) > 16 and got == {i: set(range(1, n + 1)) for i, n in want.items()}
 
 
+def test_link_mail_strip_all_reaches_every_sentence(spark, tmp_path):
+    texts = ["One. Two www.a.org/x here. Three me@b.org there. Four. Five http://c.org/?q=1 or d.e@f.co.uk end.", "See doi:10.1/x now."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.sn): r.s for r in registry.QUERIES["link_mail_strip_all"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(i, k + 1) for i, t in enumerate(texts) for k in range(n_sentences(t))}
+    assert not any("@" in s or "www." in s or "http" in s or "doi:" in s for s in got.values())
+    assert got[0, 2].startswith("Two  here.") and got[0, 5].startswith("Five  or  end.")
+
+
 def test_entry(spark):
     import __spark_entry__
 
