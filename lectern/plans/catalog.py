@@ -39,6 +39,8 @@ PLANS = {
     "folder_ancestors": f"WITH RECURSIVE {ANCESTORS} SELECT folder, @[listagg(name, '/') WITHIN GROUP (ORDER BY steps DESC)@|string_agg(name, '/' ORDER BY steps DESC)@] AS path, count(*) AS depth FROM up GROUP BY folder",
     "folder_move_guard": f"""WITH RECURSIVE {ANCESTORS}, moves AS (SELECT id AS folder, CASE WHEN id % 3 = 0 THEN 1 + id % 5 WHEN id % 3 = 1 THEN id ELSE 100 + id % 25 END AS target FROM {FOLDERS} f WHERE id < 1200)
       SELECT m.folder, m.target, m.folder <> m.target AND u.at IS NULL AS allowed FROM moves m LEFT JOIN up u ON u.folder = m.target AND u.at = m.folder""",
+    "folder_move_guard_all": f"""WITH RECURSIVE {ANCESTORS}, moves AS (SELECT id AS folder, CASE WHEN id % 3 = 0 THEN 1 + id % 5 WHEN id % 3 = 1 THEN id ELSE 100 + id % 25 END AS target FROM {FOLDERS} f)
+      SELECT m.folder, m.target, m.folder <> m.target AND u.at IS NULL AS allowed FROM moves m LEFT JOIN up u ON u.folder = m.target AND u.at = m.folder""",
     "folder_delete_reparent": f"""SELECT f.id, coalesce(g.parent_id, f.parent_id) AS parent_id, f.name FROM {FOLDERS} f LEFT JOIN (SELECT id, parent_id FROM {FOLDERS} d WHERE id BETWEEN 100 AND 124 AND id % 4 = 0) g ON g.id = f.parent_id
       WHERE NOT (f.id BETWEEN 100 AND 124 AND f.id % 4 = 0)""",
     "folder_status": f"SELECT kind, deleted, count(*) AS items, count(DISTINCT folder_id) AS folders FROM {ITEMS} i GROUP BY kind, deleted",

@@ -45,6 +45,22 @@ def test_link_mail_strip_all_reaches_every_sentence(spark, tmp_path):
     assert got[0, 2].startswith("Two  here.") and got[0, 5].startswith("Five  or  end.")
 
 
+def test_folder_move_guard_all_checks_every_folder(spark, sf_dir):
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet").collect()
+    parent = {1 + r.r_regionkey: 0 for r in read("region")} | {100 + n.n_nationkey: 1 + n.n_regionkey for n in read("nation")} | {1000 + c.c_custkey: 100 + c.c_nationkey for c in read("customer")}
+
+    def allowed(folder, target):
+        while target:
+            if target == folder:
+                return False
+            target = parent.get(target)
+        return True
+
+    targets = {i: (1 + i % 5, i, 100 + i % 25)[i % 3] for i in parent}
+    got = registry.QUERIES["folder_move_guard_all"](spark, sf_dir).collect()
+    assert sorted((r.folder, r.target, r.allowed) for r in got) == sorted((i, t, allowed(i, t)) for i, t in targets.items())
+
+
 def test_entry(spark):
     import __spark_entry__
 
