@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +50,8 @@ WORDS = set(
     "share sharing social related recommended pagination pager toolbar skip".split()
 )
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
-DEPTH = 150
+#: Cells of a table of child lists; longer lists are halved until they fit.
+CELLS = 250_000
 
 
 @dataclass
@@ -64,10 +67,12 @@ class Page:
 
 
 def parse(source: str) -> Page:
-    """A lenient DOM: unclosed and stray tags never fail.  Elements nested deeper than
-    ``DEPTH`` become children of the one at that depth."""
+    """A lenient DOM of any depth: unclosed and stray tags never fail."""
     page = Page()
     stack: list[int] = []
+    # Places in the stack, in order, of each tag and of all that end a search for implied ends.
+    places: dict[str, list[int]] = {}
+    scopes: list[int] = []
 
     def open_(tag: str, attrs: str) -> int:
         page.tag.append(tag)
@@ -78,11 +83,20 @@ def parse(source: str) -> Page:
 
     def close() -> None:
         i = stack.pop()
+        places[page.tag[i]].pop()
+        if page.tag[i] in SCOPE:
+            scopes.pop()
         page.end[i] = len(page.tag)
         if page.tag[i] in BLOCK:
             page.texts.append((i, None))
 
-    stack.append(open_("html", ""))
+    def push(i: int) -> None:
+        places.setdefault(page.tag[i], []).append(len(stack))
+        if page.tag[i] in SCOPE:
+            scopes.append(len(stack))
+        stack.append(i)
+
+    push(open_("html", ""))
     at, size = 0, len(source)
     while at < size:
         m = TAG.search(source, at)
@@ -94,11 +108,9 @@ def parse(source: str) -> Page:
         at = m.end()
         if m[1]:
             tag = m[1].lower()
-            for k in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[k]] == tag:
-                    while len(stack) > k:
-                        close()
-                    break
+            k = (places.get(tag) or [0])[-1]
+            while k and len(stack) > k:
+                close()
             continue
         tag = (m[2] or m[4] or "").lower()
         if not tag:
@@ -108,13 +120,9 @@ def parse(source: str) -> Page:
         attrs = m[3] if m[2] else m[5]
         if tag in CLOSES_P or tag in IMPLIED:
             goal = IMPLIED.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-            for k in range(len(stack) - 1, 0, -1):
-                own = page.tag[stack[k]]
-                if own in goal:
-                    while len(stack) > k:
-                        close()
-                elif own in SCOPE:
-                    break
+            above = [at[k] for at in (places.get(g, []) for g in goal) if (k := bisect_right(at, scopes[-1])) < len(at)]
+            while above and len(stack) > min(above):
+                close()
         if tag == "html" or tag == "body" and "body" in page.tag:
             continue
         i = open_(tag, attrs or "")
@@ -130,15 +138,23 @@ def parse(source: str) -> Page:
             page.end[i] = len(page.tag)
         elif tag in VOID or (attrs or "").endswith("/"):
             page.end[i] = len(page.tag)
-        elif len(stack) >= DEPTH:
-            page.end[i] = len(page.tag)
         else:
-            stack.append(i)
+            push(i)
     while stack:
         close()
     return page
 
 
+def equal_ends(a: list[int] | tuple[int, ...], b: list[int] | tuple[int, ...]) -> tuple[int, int]:
+    """Lengths of the equal heads and, of the rest, of the equal tails."""
+    least, head, tail = min(len(a), len(b)), 0, 0
+    while head < least and a[head] == b[head]:
+        head += 1
+    while tail < least - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    return head, tail
+
+
 class Matcher:
     """Simple tree matching with interned shapes: equal shapes have equal numbers."""
 
@@ -164,38 +180,35 @@ class Matcher:
         return out, children
 
     def weight(self, a: int, b: int) -> int:
-        """Pairs of the best matching of two shapes."""
-        if a == b:
-            return self.shapes[a][2]
-        key = (a, b)
-        got = self.known.get(key)
-        if got is None:
-            (ta, ca, _), (tb, cb, _) = self.shapes[a], self.shapes[b]
-            got = self.known[key] = 0 if ta != tb else 1 + sum(self.weight(ca[i], cb[j]) for i, j in self.pairs(ca, cb))
-        return got
+        """Pairs of the best matching of two shapes; children go before their parents,
+        without recursion, so that depth is no limit."""
+        todo = [] if a == b or (a, b) in self.known else [(a, b)]
+        while todo:
+            x, y = todo[-1]
+            (ta, ca, _), (tb, cb, _) = self.shapes[x], self.shapes[y]
+            if (x, y) not in self.known and ta == tb:
+                head, tail = equal_ends(ca, cb)
+                left, right = set(ca[head : len(ca) - tail]), set(cb[head : len(cb) - tail])
+                wanted = [(u, v) for u in left for v in right if u != v and (u, v) not in self.known]
+                if wanted:
+                    todo += wanted
+                    continue
+            if (x, y) not in self.known:
+                self.known[x, y] = 0 if ta != tb else 1 + sum(self.weight(ca[i], cb[j]) for i, j in self.pairs(ca, cb))
+            todo.pop()
+        return self.shapes[a][2] if a == b else self.known[a, b]
 
     def pairs(self, a: list[int] | tuple[int, ...], b: list[int] | tuple[int, ...]) -> list[tuple[int, int]]:
         """Positions paired by the best order-preserving matching of child shapes.  Equal
-        heads and tails pair at once, which loses nothing; a rest of over a quarter
-        million cells is paired in order of equal shapes."""
-        head = 0
-        while head < min(len(a), len(b)) and a[head] == b[head]:
-            head += 1
-        tail = 0
-        while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-            tail += 1
+        heads and tails pair at once, which loses nothing; a rest of over ``CELLS``
+        cells is halved where the best matchings of its halves add up to the most."""
+        head, tail = equal_ends(a, b)
         out = [(i, i) for i in range(head)] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
         m, n = len(a) - head - tail, len(b) - head - tail
         if not m or not n:
             return out
-        if m * n > 250_000:
-            j = head
-            for i in range(head, head + m):
-                found = next((k for k in range(j, min(j + 64, head + n)) if b[k] == a[i]), None)
-                if found is not None:
-                    out.append((i, found))
-                    j = found + 1
-            return out
+        if m * n > CELLS:
+            return out + [(head + i, head + j) for i, j in self.halved(a[head : head + m], b[head : head + n])]
         best = [[0] * (n + 1) for _ in range(m + 1)]
         for i in range(m):
             row, above, x = best[i + 1], best[i], a[head + i]
@@ -213,6 +226,27 @@ class Matcher:
                 out.append((head + i, head + j))
         return out
 
+    def halved(self, a: list[int] | tuple[int, ...], b: list[int] | tuple[int, ...]) -> list[tuple[int, int]]:
+        """``pairs`` by Hirschberg's division: one row of the table at a time."""
+        kinds, at = np.unique(np.array(b), return_inverse=True)
+        rows: dict[int, np.ndarray] = {}
+
+        def last(xs, at: np.ndarray) -> np.ndarray:
+            row = np.zeros(len(at) + 1, dtype=np.int64)
+            for x in xs:
+                if x not in rows:
+                    rows[x] = np.array([self.weight(x, int(k)) for k in kinds], dtype=np.int64)
+                row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + rows[x][at]))
+            return row
+
+        if len(a) == 1:
+            last(a, at)
+            w = rows[a[0]][at]
+            return [(0, int(w.argmax()))] if w.max() else []
+        mid = len(a) // 2
+        cut = int((last(a[:mid], at) + last(a[mid:][::-1], at[::-1])[::-1]).argmax())
+        return self.pairs(a[:mid], b[:cut]) + [(mid + i, cut + j) for i, j in self.pairs(a[mid:], b[cut:])]
+
     def align(self, a: tuple[list[int], list[list[int]]], b: tuple[list[int], list[list[int]]]) -> dict[int, int]:
         """Element of ``a`` for each paired element of ``b``; the roots are a pair."""
         (sa, ca), (sb, cb) = a, b
@@ -317,8 +351,11 @@ def main_text(page: Page, template: set[int]) -> str:
         region = max(articles, key=lambda i: (prose(i), i))
     else:
         region = 0
+        children: list[list[int]] = [[] for _ in range(n)]
+        for i in range(1, n):
+            children[page.parent[i]].append(i)
         while True:
-            below = [i for i in range(region + 1, page.end[region]) if page.parent[i] == region and page.tag[i] in BLOCK and page.tag[i] not in ("p", "pre", "li", "blockquote", *HEADINGS)]
+            below = [i for i in children[region] if page.tag[i] in BLOCK and page.tag[i] not in ("p", "pre", "li", "blockquote", *HEADINGS)]
             best = max(below, key=prose, default=None)
             if best is None or prose(best) * 10 < prose(region) * 7 or not prose(best):
                 break

@@ -347,6 +347,38 @@ def test_tree_matching_equals_plain_recursion():
         assert len(pairs) == 1 + m.weight(sa[0][1], sb[0][1])
 
 
+def test_html_of_any_depth_keeps_its_ancestors():
+    deep = "<div><article>" + "<div>" * 200 + "</div>" * 200 + "<p>rest</p></article></div>"
+    assert html.extract_group([deep]) == ["rest"]
+    unclosed = "<article>" + "<font>" * 200 + "<nav>menu</nav><p>prose</p><aside>other</aside></article>"
+    assert html.extract_group([unclosed]) == ["prose"]
+    pages = [f"<div>{'<div>' * 2000}{'<i>' * k}word{k}{'</i>' * k}{'</div>' * 2000}<p>tail</p></div>" for k in range(5)]
+    assert html.extract_group(pages) == [f"word{k}" for k in range(5)]
+
+
+def test_long_child_lists_align_as_short_ones_do(monkeypatch):
+    rng = random.Random(12)
+    trees = [["<div>" + "".join(f"<{t}></{t}>" for t in rng.choices(["b", "i", "u", "s", "p"], k=n)) + "</div>" for n in (40, 35)] for _ in range(40)]
+    weights = []
+    for cells in (html.CELLS, 30):
+        monkeypatch.setattr(html, "CELLS", cells)
+        for a, b in trees:
+            m = html.Matcher()
+            sa, sb = m.shape(html.parse(a)), m.shape(html.parse(b))
+            weights.append(m.weight(sa[0][0], sb[0][0]))
+            pairs = m.align(sa, sb)
+            assert len(pairs) == weights[-1] == len(set(pairs.values()))
+            assert sorted(pairs) == [y for _, y in sorted((x, y) for y, x in pairs.items())]
+    assert weights[:40] == weights[40:]
+    monkeypatch.undo()
+    # Every second child is missing: over a quarter million cells, and no run of equal shapes is longer than one.
+    tags = [rng.choice("bius") for _ in range(1400)]
+    source = lambda x: "<div>" + "".join(f"<{t}></{t}>" for t in x) + "</div>"
+    m = html.Matcher()
+    sa, sb = m.shape(html.parse(source(tags))), m.shape(html.parse(source(tags[::2])))
+    assert len(m.align(sa, sb)) == 2 + len(tags[::2])
+
+
 def test_html_table(spark, sf_dir):
     pages = spark.createDataFrame([(1, "http://h/x", None, 5), (2, None, "", 5), (None, "http://h/y", "<p>a<p>b &lt; c", 5), (3, "odd", "<div>" * 3000 + "deep", 5), (3, "odd", "text only <", 5)], "page_id long, url string, html string, salt int")
     got = sorted((r.id is None, r.id or 0, r.text, r.n_chars) for r in html.extract(pages).collect())
