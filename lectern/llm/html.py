@@ -270,13 +270,18 @@ def own_texts(page: Page) -> dict[int, str]:
     return {i: SPACE.sub(" ", " ".join(x)).strip() for i, x in parts.items()}
 
 
+def texts_hash(texts: dict[int, str]) -> int:
+    """Equal for pages of equal texts."""
+    return hash(tuple(sorted(texts.items())))
+
+
 def templates(pages: list[Page], least: int = 4) -> list[set[int]]:
     """For each page the elements that are template: their own text is equal on all
     pages, of ``least`` or more with different texts, that align with the pivot."""
     matcher = Matcher()
     shapes = [matcher.shape(p) for p in pages]
     texts = [own_texts(p) for p in pages]
-    wholes = [hash(tuple(sorted(t.items()))) for t in texts]
+    wholes = [texts_hash(t) for t in texts]
     if len(set(wholes)) < least:
         return [set() for _ in pages]
     pivot = max(range(len(pages)), key=lambda k: (len(pages[k].tag), -k))
@@ -382,10 +387,11 @@ def extract_group(sources: list[str | None]) -> list[str]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, group: int = 32, salt_over: int = 512, broadcast_hosts: int = 50_000) -> DataFrame:
     """(id, url, text, n_chars): the main text of every page.
 
-    A host's pages are taken in groups of ``group``; a host of over ``salt_over`` pages is
-    dealt out by a hash of the id first.  Every page takes part in its group's alignment.
-    A group with fewer than four different pages has no template and goes by markup
-    alone.  Null html gives an empty text; a null or odd url belongs to the host "".
+    A host's different pages are taken in groups of ``group``, the last of which share
+    evenly, so none is left with a few; a host of over ``salt_over`` pages is dealt out by a
+    hash of the id first.  Pages of equal texts stand in one group and count once in it, and
+    equal html is extracted once.  Only a host, or part of one, with fewer than four
+    different pages has no template and goes by markup alone.  Null html gives an empty text; a null or odd url belongs to the host "".
     Repeated rows are extracted one by one; null ids are allowed.  An empty table gives
     an empty result; other columns are not used.
     """
@@ -398,22 +404,38 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     id_kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        held: list[tuple] = []
-
-        def done(kind):
-            texts = extract_group([r[4] for r in held])
-            ids, urls = [r[2] for r in held], [r[3] for r in held]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
+        # By text, then by html: the ids and urls that have it.
+        held: dict[int, dict[str | None, list[tuple]]] = {}
+        text_of: dict[str | None, int] = {}
+        key, kind = None, pa.int64()
+
+        def done(n):
+            some = [held.pop(t) for t in list(held)[:n]]
+            sources = [source for by in some for source in by]
+            for source in sources:
+                del text_of[source]
+            for own, text in zip((rows_ for by in some for rows_ in by.values()), extract_group(sources)):
+                for at in range(0, len(own), 1024):
+                    ids, urls = zip(*own[at : at + 1024])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(urls, pa.string()), pa.array([text] * len(ids), pa.string()), pa.array([len(text)] * len(ids), pa.int64())], ["id", "url", "text", "n_chars"])
+
+        def rest():
+            for left in range(-(-len(held) // group), 0, -1):
+                yield from done(-(-len(held) // left))
 
-        kind = pa.int64()
         for batch in batches:
             kind = batch.column(2).type
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (held[0][:2] != row[:2] or len(held) >= group):
-                    yield done(kind)
-                held.append(row)
-        if held:
-            yield done(kind)
+            for host, salt, id_, url, source in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != (host, salt):
+                    yield from rest()
+                    key = (host, salt)
+                if source not in text_of:
+                    text_of[source] = texts_hash(own_texts(parse(source or "")))
+                    if text_of[source] not in held and len(held) >= 2 * group:
+                        new = text_of.pop(source)
+                        yield from done(group)
+                        text_of[source] = new
+                held.setdefault(text_of[source], {}).setdefault(source, []).append((id_, url))
+        yield from rest()
 
     return dealt.repartition("host", "salt").sortWithinPartitions("host", "salt", "id").mapInArrow(run, f"id {id_kind}, url string, text string, n_chars long")

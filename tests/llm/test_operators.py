@@ -388,6 +388,19 @@ def test_html_table(spark, sf_dir):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_html_leftovers_and_copies_have_a_template(spark):
+    rng = random.Random(13)
+    source = lambda: f"<div><div>Terms apply here</div><div><h2>{words(rng, 3)}</h2><p>{words(rng, 40)}</p><p>All rights reserved here</p></div></div>"
+    odd = [source() for _ in range(33)] + [source() for _ in range(2)]
+    hot = [source()] * 64 + [source() for _ in range(4)]
+    # Equal texts in different html, too.
+    hot += [hot[0].replace("<div>", f"<div data-n={k}>") for k in range(40)]
+    rows = [(k, f"http://{host}/{k}", s) for host, some in (("a", odd[:33]), ("b", odd), ("c", hot)) for k, s in enumerate(some)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.id, r.url) for r in got) == sorted((i, u) for i, u, _ in rows)
+    assert all("Terms" not in r.text and "rights" not in r.text and len(r.text.split("\n")) == 2 for r in got)
+
+
 # --- 6 WARC
 
 
