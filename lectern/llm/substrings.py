@@ -55,13 +55,25 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, dtype=f"<u{blob[0]}", offset=1).astype(np.int64)
 
 
-def low7(values: np.ndarray) -> bytes:
-    return values.view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+def top_bits(buckets: int) -> int:
+    """Bits beyond 56 of a hash divided by ``buckets``."""
+    return max(0, (((1 << 64) - 1) // buckets).bit_length() - 56)
 
 
-def from_low7(blob: bytes) -> np.ndarray:
-    rows = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 7)
-    return np.pad(rows, ((0, 0), (0, 1))).view(np.uint64).ravel()
+def sealed_hashes(values: np.ndarray, top: int) -> bytes:
+    """Seven bytes of every number, then ``top`` bits of every eighth one; ``top`` comes first."""
+    octets = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)
+    return bytes([top]) + octets[:, :7].tobytes() + np.packbits(np.unpackbits(octets[:, 7:], axis=1, bitorder="little")[:, :top]).tobytes()
+
+
+def opened_hashes(blob: bytes) -> np.ndarray:
+    top = blob[0]
+    n = 8 * (len(blob) - 1) // (56 + top)
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :7] = np.frombuffer(blob, dtype=np.uint8, count=7 * n, offset=1).reshape(-1, 7)
+    bits = np.unpackbits(np.frombuffer(blob, dtype=np.uint8, offset=1 + 7 * n), count=n * top).reshape(n, top)
+    out[:, 7:] = np.packbits(np.pad(bits, ((0, 0), (0, 8 - top))), axis=1, bitorder="little")
+    return out.view(np.uint64).ravel()
 
 
 def smallest_of_equal(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -89,12 +101,13 @@ def sent(batches, window: int, buckets: int, most: int = 1 << 20):
         first = smallest_of_equal(h, who) == who
         rows = [(-1 - k, *sealed) for k, sealed in parted(who[~first], at[~first], buckets)]
         h, at, who, doc = h[first], at[first], who[first], doc[first]
-        bucket = ((h >> np.uint64(48)) % np.uint64(buckets)).astype(np.uint32)
+        # Bucket and quotient together are the whole hash.
+        bucket, h = (h % np.uint64(buckets)).astype(np.uint32), h // np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for k in np.flatnonzero(np.diff(edges)).tolist():
             o = order[edges[k] : edges[k + 1]]
-            rows.append((k, low7(h[o]), *run_lengths(doc[o], who[o], at[o])))
+            rows.append((k, sealed_hashes(h[o], top_bits(buckets)), *run_lengths(doc[o], who[o], at[o])))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4))], ["bucket", "hashes", "counts", "ids", "starts"])
 
     for batch in batches:
@@ -147,7 +160,7 @@ def counted(batches, parts: int):
 
     def decide(rows):
         if rows:
-            h = np.concatenate([from_low7(r[0]) for r in rows])
+            h = np.concatenate([opened_hashes(r[0]) for r in rows])
             ids, starts = (np.concatenate(x) for x in zip(*(run_values(*r[1:]) for r in rows)))
             more = ids > smallest_of_equal(h, ids)
             who.append(ids[more])

@@ -280,6 +280,21 @@ def test_substrings_equal_brute_force(spark, awkward, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("buckets", [1, 2, 16, 98, 256, 400])
+def test_windows_compare_on_all_64_bits(monkeypatch, buckets):
+    import pyarrow as pa
+
+    hashes = {b"a": 12345, **{f"x{k}".encode(): 12345 ^ 1 << k for k in range(64)}}
+    monkeypatch.setattr(substrings, "window_hashes", lambda words, window: words)
+    monkeypatch.setattr(substrings, "word_hashes", lambda words: np.array([hashes[w] for w in words], dtype=np.uint64))
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t])], ["id", "text"]) for i, t in enumerate(["a", " ".join(f"x{k}" for k in range(64)), "x5 a"])]
+    rows = sorted(r for b in substrings.sent(batches, 1, buckets) for r in zip(*(c.to_pylist() for c in b.columns)))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4))], ["bucket", "hashes", "counts", "ids", "starts"])
+    found = [r for b in substrings.counted([batch], buckets) for r in zip(*(c.to_pylist() for c in b.columns))]
+    named = sorted((int(i), int(s)) for _, *row in found for i, s in zip(*substrings.run_values(*row)))
+    assert named == [(2, 0), (2, 1)]
+
+
 def test_small_rounds_change_nothing():
     rng = random.Random(4)
     import pyarrow as pa
