@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,6 +71,19 @@ def stars(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np
     return pairs[:, 0], pairs[:, 1]
 
 
+#: Parts that the links of one node are dealt into.
+SALTS = 16
+
+
+def with_least(links: DataFrame) -> DataFrame:
+    """(a, b, m): every link with the smallest b that its a links to.  A node of many
+    links is dealt out by a hash of the other end, so that no task gets all of them."""
+    salted = links.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    part = salted.groupBy("a", "s").agg(F.min("b").alias("m"))
+    least = part.groupBy("a").agg(F.min("m").alias("m"))
+    return salted.join(part.select("a", "s").join(least, "a"), ["a", "s"]).select("a", "b", "m")
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, component) for every node on an edge; component is the smallest
     node that links reach.
@@ -81,7 +94,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     but two numbers a round reaches the driver.
     """
     spark = edges.sparkSession
-    a, b = F.col("a"), F.col("b")
+    a, b, m = F.col("a"), F.col("b"), F.col("m")
     now = edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).where(a != b).distinct()
     path, seen = None, None
     while True:
@@ -97,9 +110,22 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
                 now.select("b", "b").distinct().toDF("node", "component")
             )
         seen = state
-        both = now.union(now.select("b", "a").toDF("a", "b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).where(a != b).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        pairs = large.join(least, "a").select(F.explode(F.array(F.struct(b.alias("a"), F.col("m").alias("b")), F.struct(a, F.col("m").alias("b")))).alias("e"))
+        both = with_least(now.union(now.select("b", "a").toDF("a", "b")))
+        large = both.where(b > a).select(b.alias("a"), F.least(a, m).alias("b")).distinct()
+        pairs = with_least(large).select(F.explode(F.array(F.struct(b.alias("a"), m.alias("b")), F.struct(a, m.alias("b")))).alias("e"))
         now = pairs.select("e.a", "e.b").where(a != b).distinct()
+
+
+def late_id(*content: str | Column) -> Column:
+    """A number from 2^62 on, made of the content: the place of what has no id, after all ids."""
+    return F.xxhash64(*content).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+
+
+def order_id(id_col: str, *content: str | Column) -> Column:
+    """An id to order and to join by: the id itself, or a late one.  Ids must be below 2^62."""
+    return F.coalesce(F.col(id_col).cast("long"), late_id(*content))
+
+
+def real_id(node: str) -> Column:
+    """The id of an ``order_id``; null for a late one."""
+    return F.when(F.col(node) < F.lit(1 << 62), F.col(node))

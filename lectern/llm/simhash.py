@@ -1,8 +1,12 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
-Fingerprints that agree on enough of a few bit blocks meet in one bucket (with
-radius r and r + 2 blocks, two blocks at least agree, so none is missed).  In a
-bucket the bit planes are stored vertically: bit b of 64 fingerprints is one
+Rows that may be near meet in a group.  For a plain radius r a group is a bucket of
+fingerprints that agree on two of r + 2 bit blocks, which every pair within r does.
+For a Jaccard similarity of shingle sets it is what shares a shingle of the sets'
+prefixes, which every pair of that similarity does, and the shingle sets of what the
+fingerprints join are compared at the end.
+
+In a group the bit planes are stored vertically: bit b of 64 fingerprints is one
 machine word.  A query's bit is XORed with a whole plane at once, the results go
 into carry-save counters, and a block is abandoned as soon as every lane exceeds
 the radius.
@@ -12,6 +16,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import shared
+from lectern.llm.substrings import window_hashes, word_hashes
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 CHUNK = 1 << 14
@@ -41,36 +47,45 @@ def shingle_hashes(words: list[bytes], size: int, seed: int) -> Iterator[np.ndar
         yield np.array([hashed(text[i:j], seed) for i, j in zip(starts[: len(some) - k + 1].tolist(), ends[k - 1 :].tolist())], dtype=np.uint64)
 
 
-def fingerprint(text: str | None, size: int = 4, seed: int = 42, parts: int = 1, distinct: bool = False) -> list[int]:
-    """``parts`` unsigned 64-bit numbers: bit i is 1 if set in over half of the
-    shingles' hashes.  Only A-Z is lower-cased; words are parted by ASCII white
-    space.  Part p hashes with seed + p; ``distinct`` counts a repeated shingle once."""
-    words = shared.utf8(text).lower().split()
-    out = []
-    for p in range(parts):
-        ones, n = np.zeros(64, dtype=np.int64), 0
-        runs = shingle_hashes(words, size, seed + p)
-        if distinct and words:
-            every = np.unique(np.concatenate(list(runs)))
-            runs = (every[k : k + CHUNK] for k in range(0, len(every), CHUNK))
-        for h in runs:
-            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+def majority(hashes: Iterator[np.ndarray], parts: int = 1) -> np.ndarray:
+    """``parts`` unsigned 64-bit numbers: bit i is 1 if set in over half of the hashes.
+    Parts after the first come from the hashes mixed anew."""
+    ones, n = np.zeros((parts, 64), dtype=np.int64), 0
+    for every in hashes:
+        for at in range(0, len(every), CHUNK):
+            h = every[at : at + CHUNK]
             n += len(h)
-        out.append(int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little"))
-    return out
+            for p in range(parts):
+                ones[p] += np.unpackbits(remixed(h, p).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def remixed(h: np.ndarray, part: int) -> np.ndarray:
+    """Part 0: the hashes; other parts: as if hashed anew."""
+    if not part:
+        return h
+    x = h + np.uint64(0x9E3779B97F4A7C15 * part & (1 << 64) - 1)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 4, seed: int = 42, parts: int = 1, distinct: bool = False) -> DataFrame:
-    """(id, f0, f1, ...): signed 64-bit words of each row's fingerprint."""
-    names = [f"f{p}" for p in range(parts)]
+def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
+    """The SimHash of a text's shingles, repeats included.  Only A-Z is lower-cased;
+    words are parted by ASCII white space."""
+    return int(majority(shingle_hashes(shared.utf8(text).lower().split(), size, seed))[0])
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 4, seed: int = 42) -> DataFrame:
+    """(id, f0): the signed 64-bit fingerprint of each row."""
 
     def run(batches):
         for batch in batches:
-            prints = np.array([fingerprint(t, size, seed, parts, distinct) for t in batch.column(1).to_pylist()], dtype=np.uint64).reshape(-1, parts).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(prints[:, p]) for p in range(parts))], ["id", *names])
+            prints = np.array([fingerprint(t, size, seed) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["id", "f0"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, f0 long")
 
 
 def bit_planes(prints: np.ndarray) -> np.ndarray:
@@ -123,36 +138,52 @@ def lanes_of(words: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little")[:n])
 
 
-def spanning_links(prints: np.ndarray, radius: int, queries: int = 128) -> Iterator[tuple[int, int]]:
-    """Links (row, root) that join the rows of one block as all pairs within the
-    radius would: breadth first, every row once a query against those not reached."""
+def spanning_links(prints: np.ndarray, radius: int, queries: int = 128, worth: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (rows, rows) that join the rows of one block as all pairs within the radius
+    would.  While groups of ``worth`` rows or more turn up, breadth first from one root:
+    every row once a query against those not reached.  What is left then is compared in
+    pairs, ``queries`` rows at a time."""
     n, parts = prints.shape
     planes = bit_planes(prints)
     masks = np.where(np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(n, 8 * parts), axis=1, bitorder="little") > 0, ONES, np.uint64(0))
     open_ = np.zeros(planes.shape[1] * 64, dtype=np.uint8)
     open_[:n] = 1
-    reached = np.zeros(n, dtype=bool)
+
+    def near(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        left = np.packbits(open_, bitorder="little").view(np.uint64)
+        use = np.flatnonzero(left)
+        return close_lanes((planes[b][None, use] ^ masks[some, b][:, None] for b in range(64 * parts)), (len(some), len(use)), radius) & left[use], use, left
+
     for root in range(n):
-        if reached[root]:
+        if not open_[root]:
             continue
-        reached[root], open_[root] = True, 0
-        queue = [root]
-        while queue:
-            some, queue = queue[:queries], queue[queries:]
-            left = np.packbits(open_, bitorder="little").view(np.uint64)
-            if not left.any():
-                break
-            use = np.flatnonzero(left)
-            near = close_lanes((planes[b][None, use] ^ masks[some, b][:, None] for b in range(64 * parts)), (len(some), len(use)), radius)
+        open_[root] = 0
+        queue, size = [root], 1
+        while queue and open_.any():
+            some, queue = np.array(queue[:queries]), queue[queries:]
+            hits, use, left = near(some)
             hit = np.zeros_like(left)
-            hit[use] = np.bitwise_or.reduce(near, axis=0) & left[use]
+            hit[use] = np.bitwise_or.reduce(hits, axis=0)
             found = lanes_of(hit, n)
-            reached[found], open_[found] = True, 0
+            open_[found] = 0
             queue += found.tolist()
-            yield from ((int(i), root) for i in found)
-
-
-def run_links(prints: np.ndarray, runs: np.ndarray, radius: int, small: int = 24) -> tuple[np.ndarray, np.ndarray]:
+            size += len(found)
+            yield found, np.full(len(found), root)
+        if size < worth:
+            break
+    rest = np.flatnonzero(open_[:n])
+    for at in range(0, len(rest), queries):
+        some = rest[at : at + queries]
+        hits, use, _ = near(some)
+        bits = np.unpackbits(np.ascontiguousarray(hits).view(np.uint8), axis=1, bitorder="little")
+        row, lane = np.nonzero(bits)
+        lane = use[lane // 64] * 64 + lane % 64
+        open_[some] = 0
+        i, j = shared.stars(np.arange(n), some[row], lane)
+        yield i, j
+
+
+def run_links(prints: np.ndarray, runs: np.ndarray, radius: int, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
     """Links inside runs of equal ``runs`` values (rows stand together).  Short runs
     share lanes: lane i compares rows i and i + d; long ones go by blocks."""
     n = len(runs)
@@ -174,8 +205,8 @@ def run_links(prints: np.ndarray, runs: np.ndarray, radius: int, small: int = 24
             right.append(i[hit] + d)
     for s, m in zip(starts[sizes > small], sizes[sizes > small]):
         for i, j in spanning_links(prints[s : s + m], radius):
-            left.append(np.array([s + i]))
-            right.append(np.array([s + j]))
+            left.append(s + i)
+            right.append(s + j)
     none = np.zeros(0, dtype=np.int64)
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
@@ -214,33 +245,22 @@ def block_masks(radius: int) -> list[int]:
     return [a | b for a, b in itertools.combinations(blocks, 2)]
 
 
-def sampled_masks(parts: int, bits: int, tables: int, seed: int) -> list[list[int]]:
-    """For wide fingerprints: ``tables`` masks of ``bits`` bit places drawn at random."""
-    draw = np.random.default_rng(seed)
-    out = []
-    for _ in range(tables):
-        mask = [0] * parts
-        for place in draw.choice(64 * parts, size=bits, replace=False).tolist():
-            mask[place // 64] |= 1 << place % 64
-        out.append(mask)
-    return out
-
-
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(nodes: DataFrame, masks: list[list[int]], radius: int, *, block: int = 4096) -> DataFrame:
-    """(a, b) links between rows of ``nodes`` (node, f0, ...) at most ``radius``
-    bits apart that agree under a mask.  A bucket of over ``block`` rows is dealt
-    out as pairs of blocks, each a task's worth of its own."""
-    prints = [c for c in nodes.columns if c != "node"]
+def block_keys(nodes: DataFrame, radius: int) -> DataFrame:
+    """(key, node, f0), once for each pair of bit blocks.  Two buckets that share a hash
+    are compared in vain, never linked in error."""
+    keys = (F.xxhash64(F.lit(k), F.col("f0").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(block_masks(radius)))
+    return nodes.select(F.explode(F.array(*keys)).alias("key"), "node", "f0")
 
-    def key(k: int, mask: list[int]) -> Column:
-        return F.xxhash64(F.lit(k), *(F.col(p).bitwiseAND(F.lit(signed(m))) for p, m in zip(prints, mask)))
 
-    # Two buckets that share a hash are compared in vain, never linked in error.
-    keyed = nodes.select(F.explode(F.array(*(key(k, m) for k, m in enumerate(masks)))).alias("key"), "node", *prints)
+def near_links(keyed: DataFrame, radius: int, *, block: int = 4096) -> DataFrame:
+    """(a, b) links between rows of one ``key`` in (key, node, f0, ...) at most ``radius``
+    bits apart.  A group of over ``block`` rows is dealt out as pairs of blocks, each a
+    task's worth of its own."""
+    prints = [c for c in keyed.columns if c not in ("key", "node")]
     large = keyed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("n"))
     dealt = keyed.join(large, "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -291,20 +311,23 @@ def similar_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray
     return np.array(rows, dtype=np.int64), np.array(roots, dtype=np.int64)
 
 
-def shingle_set(text: str | None, size: int, seed: int) -> np.ndarray:
-    """Sorted distinct XXH64 of a text's shingles."""
-    found = list(shingle_hashes(shared.utf8(text).lower().split(), size, seed))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; of all its words where it has fewer."""
+    words = shared.utf8(text).lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    h = word_hashes(words)
+    return np.unique(window_hashes(h, size) if len(words) >= size else window_hashes(h, len(words)) ^ np.uint64(len(words)))
 
 
-def checked_links(docs: DataFrame, labels: DataFrame, size: int, seed: int, similarity: float, *, rows: int = 2048, hashes: int = 1 << 21) -> DataFrame:
+def checked_links(docs: DataFrame, labels: DataFrame, size: int, similarity: float, *, rows: int = 2048, hashes: int = 1 << 21) -> DataFrame:
     """(a, b) links between ids whose texts reach ``similarity``, for every pair of a
-    component of ``labels`` (node, component).  A component beyond ``rows`` rows or
-    ``hashes`` shingles is dealt out as pairs of blocks, each of about that size."""
+    component of ``labels`` (node, component).  ``docs``: (node, text).  A component beyond
+    ``rows`` rows or ``hashes`` shingles is dealt out as pairs of blocks, each of about that size."""
 
     def sets(batches):
         for batch in batches:
-            found = [shingle_set(t, size, seed) for t in batch.column(2).to_pylist()]
+            found = [shingle_set(t, size) for t in batch.column(2).to_pylist()]
             columns = [batch.column(0), batch.column(1), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["c", "id", "hashes", "n_hashes"])
 
@@ -326,7 +349,7 @@ def checked_links(docs: DataFrame, labels: DataFrame, size: int, seed: int, simi
         if len(ids) > 1:
             yield links(ids, found)
 
-    texts = docs.join(labels, docs["id"] == labels["node"]).select(F.col("component").alias("c"), "id", "text")
+    texts = docs.join(labels, "node").select(F.col("component").alias("c"), F.col("node").alias("id"), "text")
     some = shared.cut(texts.mapInArrow(sets, "c long, id long, hashes binary, n_hashes long").where("n_hashes > 0"), "sets")
     large = some.groupBy("c").agg(F.ceil(F.greatest(F.count("*") / rows, F.sum("n_hashes") / hashes)).cast("int").alias("n")).where("n > 1")
     dealt = some.join(large, "c", "left").withColumn("n", F.coalesce("n", F.lit(1)))
@@ -335,35 +358,173 @@ def checked_links(docs: DataFrame, labels: DataFrame, size: int, seed: int, simi
     return dealt.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 4, seed: int = 42, radius: int = 4, parts: int = 1, tables: int | None = None, key_bits: int = 16, similarity: float | None = None
-) -> DataFrame:
-    """(id, f0.., component_id): SimHash of each row and the smallest id that links
-    of at most ``radius`` differing bits reach.
-
-    With one part and no ``tables`` every pair within the radius meets.  Wider
-    fingerprints meet under ``tables`` masks of ``key_bits`` random places.
-
-    With ``similarity``, links of fingerprints only say who is compared: the texts of
-    each component are then compared by the Jaccard similarity of their sets of
-    shingles, and what reaches it links, as do rows of one fingerprint.  Fingerprints
-    are of the distinct shingles then, and rows with a null id are left out.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
+    """(id, f0, component_id): SimHash of each row and the smallest id that links of at
+    most ``radius`` differing bits reach.  Every pair within the radius meets.
 
     Null and empty texts have the fingerprint zero and link like any other.
     Repeated rows stay rows; equal ids count as one document.  A null id links
-    and takes its group's smallest id, null if all there are null.  An empty
-    table gives an empty result; other columns are not looked at.
+    and takes its group's smallest id, null if all there are null.  Ids must be below
+    2^62.  An empty table gives an empty result; other columns are not looked at.
+    """
+    prints = shared.cut(fingerprints(docs, id_col, text_col, size=size, seed=seed), "prints")
+    nodes = shared.cut(prints.groupBy("f0").agg(F.min("id").alias("least")).select("f0", shared.order_id("least", "f0").alias("node")), "nodes")
+    labels = shared.components(near_links(block_keys(nodes, radius), radius))
+    classes = nodes.join(labels, "node", "left").select("f0", shared.real_id("component").alias("far"), shared.real_id("node").alias("near"), F.col("component").isNull().alias("alone"))
+    classes = classes.select("f0", F.when(F.col("alone"), F.col("near")).otherwise(F.col("far")).alias("component_id"))
+    return prints.join(classes, "f0").select("id", "f0", "component_id")
+
+
+@dataclass(frozen=True)
+class Similar:
+    """``radius`` of 64 * ``parts`` bits decides whose sets are compared.  Two sets of Jaccard
+    similarity 0.8 differ in 15 to 19 % of the bits (small sets in more), so in at most 48
+    of 256 on average with a standard deviation of 6.3; 84 lies 5.7 of these beyond.
+
+    ``chunk``, ``often``, ``total``, ``listed``: shingles that occur ``often`` times among
+    ``chunk`` of one task and ``total`` times in all, the ``listed`` most frequent ones, come
+    last in the order that prefixes are taken in.  The order changes who meets in vain and
+    nothing else."""
+
+    size: int = 5
+    similarity: float = 0.8
+    parts: int = 4
+    radius: int = 84
+    chunk: int = 1 << 21
+    often: int = 8
+    total: int = 128
+    listed: int = 100_000
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """How many of a set's ``n`` members, in any common order, hold one of the common
+    members of each set of that similarity to it."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+
+
+def described(docs: DataFrame, s: Similar) -> DataFrame:
+    """From (order, th, text): the rows (order, th, h, g, f0, ...) with two hashes of the shingle
+    set and its fingerprint; and rows of ``key`` and ``times`` alone for shingles that are
+    frequent among those that could be in a prefix."""
+    names = [f"f{p}" for p in range(s.parts)]
+    columns = ["order", "th", "h", "g", *names, "key", "times"]
+
+    def frequent(keys):
+        at, times = np.unique(np.concatenate(keys), return_counts=True)
+        at, times = at[times >= s.often].view(np.int64), times[times >= s.often]
+        none = pa.nulls(len(at), pa.int64())
+        return pa.RecordBatch.from_arrays([none] * (4 + s.parts) + [pa.array(at), pa.array(times, pa.int64())], columns)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            out = np.zeros((batch.num_rows, 2 + s.parts), dtype=np.uint64)
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                every = shingle_set(text, s.size)
+                out[k, :2] = np.frombuffer(xxhash.xxh3_128_digest(every.tobytes()), dtype=np.uint64)
+                out[k, 2:] = majority(iter([every]), s.parts)
+                head = every[: 2 * prefix_length(len(every), s.similarity)]
+                held.append(head)
+                size += len(head)
+                if size >= s.chunk:
+                    yield frequent(held)
+                    held, size = [], 0
+            signed_ = out.view(np.int64)
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(signed_[:, k]) for k in range(2 + s.parts)), none, none], columns)
+        if held:
+            yield frequent(held)
+
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+
+
+def prefix_keys(docs: DataFrame, frequent: np.ndarray, s: Similar) -> DataFrame:
+    """From (order, th, text): (key, h), each shingle of a set's prefix and the set's hash.
+    Members are ordered by hash, frequent ones last.  Sets met before in a batch are skipped."""
+    known = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches):
+        last = known.value
+        for batch in batches:
+            keys, names, seen = [], [], set()
+            for text in batch.column(2).to_pylist():
+                every = shingle_set(text, s.size)
+                name = xxhash.xxh3_128_digest(every.tobytes())[:8]
+                if name in seen or not len(every):
+                    continue
+                seen.add(name)
+                n = prefix_length(len(every), s.similarity)
+                if len(last):
+                    at = np.minimum(np.searchsorted(last, every), len(last) - 1)
+                    every = every[np.argsort(last[at] == every, kind="stable")]
+                keys.append(every[:n])
+                names.append(np.full(n, int.from_bytes(name, "little"), dtype=np.uint64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (keys, names)], ["key", "h"])
+
+    return docs.mapInArrow(run, "key long, h long")
+
+
+def meetings(batches):
+    """(key, h): from rows sorted by key and h, every h with the smallest h of its key,
+    which is the new key, where there are several; each pair once a batch."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, h = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(np.append(heads, len(key)))
+        root = np.repeat(h[heads], sizes)
+        if last and last[0] == key[0]:
+            root[: sizes[0]] = last[1]
+        last = key[-1], root[-1]
+        pairs = np.unique(np.stack([root, h], axis=1)[root != h], axis=0)
+        own = np.unique(pairs[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((pairs[:, 0], own))), pa.array(np.concatenate((pairs[:, 1], own)))], ["key", "h"])
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Similar = Similar()) -> DataFrame:
+    """(order, th, n, stays): every different (id, text), named by ``order_id`` and the text's
+    hash, its number of rows, and whether it stays.  Links join texts whose sets of shingles
+    reach ``Similar.similarity``; of what links join, the smallest id stays.
+
+    Equal sets, empty ones among them, are one class.  An id that rows of several different
+    sets share counts as the largest, like a null one.  Ids must be below 2^62.
     """
-    names = [f"f{p}" for p in range(parts)]
-    prints = fingerprints(docs, id_col, text_col, size=size, seed=seed, parts=parts, distinct=similarity is not None).withColumn("id", F.col("id").cast("long"))
-    prints = shared.cut(prints if similarity is None else prints.where("id IS NOT NULL"), "prints")
-    nodes = shared.cut(prints.groupBy(*names).agg(F.min("id").alias("least")).withColumn("node", F.coalesce("least", F.xxhash64(*names))), "nodes")
-    masks = [[m] for m in block_masks(radius)] if tables is None else sampled_masks(parts, key_bits, tables, seed)
-    labels = shared.components(near_links(nodes.select("node", *names), masks, radius))
-    if similarity is not None:
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-        labels = shared.components(checked_links(texts, shared.cut(labels, "labels"), size, seed, similarity))
-    joined = nodes.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    least = joined.groupBy("c").agg(F.min("least").alias("component_id"))
-    classes = joined.join(least, "c").select(*names, "component_id")
-    return prints.join(classes, names).select("id", *names, "component_id")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).select(shared.order_id("id", "text").alias("order"), F.xxhash64("text").alias("th"), "text")
+    every = shared.cut(described(rows, s), "prints")
+    names = [f"f{p}" for p in range(s.parts)]
+    frequent = every.where("key IS NOT NULL").groupBy("key").agg(F.sum("times").alias("times")).where(F.col("times") >= s.total).orderBy(F.desc("times"), "key").limit(s.listed)
+    last = np.sort(np.array([r.key for r in frequent.select("key").collect()], dtype=np.int64).view(np.uint64))
+    prints = every.where("key IS NULL")
+    counts = shared.cut(prints.groupBy("order", "th").agg(F.count("*").alias("n")), "counts")
+    sets = prints.groupBy("h", "g", *names).agg(F.min(F.struct("order", "th")).alias("first")).select("h", "g", *names, "first.*")
+    clashes = sets.groupBy("order").count().where("count > 1").select("order", F.lit(True).alias("clash"))
+    node = F.when(F.col("clash"), shared.late_id("h", "g")).otherwise(F.col("order"))
+    nodes = shared.cut(sets.join(clashes, "order", "left").select("h", *names, "order", "th", node.alias("node")), "nodes")
+    pairs = prefix_keys(rows, last, s).repartition("key").sortWithinPartitions("key", "h").mapInArrow(meetings, "key long, h long").distinct()
+    met = shared.cut(pairs.join(nodes.select("h", "node", *names), "h").select("key", "node", *names), "met")
+    labels = shared.cut(shared.components(near_links(met, s.radius)), "labels")
+    texts = rows.join(nodes.join(labels, "node", "left_semi").select("order", "th", "node"), ["order", "th"]).select("node", "text")
+    if not counts.where("n > 1").isEmpty():
+        texts = texts.dropDuplicates(["node"])
+    links = shared.components(checked_links(texts, labels, s.size, s.similarity))
+    firsts = nodes.join(links.where("node <> component"), "node", "left_anti").select("order", "th", F.lit(True).alias("stays"))
+    return counts.join(firsts, ["order", "th"], "left").select("order", "th", "n", F.coalesce("stays", F.lit(False)).alias("stays"))
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Similar = Similar()) -> DataFrame:
+    """The rows of ``docs``, whole, of which one stays for each class of ``similar_classes``.
+    Of repeated rows of one id and text one stays.  Null texts and ids take part like
+    others; an empty table stays empty."""
+    classes = shared.cut(similar_classes(docs, id_col, text_col, s), "classes")
+    text = F.col(text_col).cast("string")
+    named = docs.withColumns({"__order": F.coalesce(F.col(id_col).cast("long"), shared.late_id(text)), "__th": F.xxhash64(text)})
+    name = [F.col("order").alias("__order"), F.col("th").alias("__th")]
+    out = named.join(classes.where("NOT stays OR n > 1").select(*name), ["__order", "__th"], "left_anti")
+    again = classes.where("stays AND n > 1").select(*name)
+    if not again.isEmpty():
+        out = out.unionByName(named.join(again, ["__order", "__th"], "left_semi").dropDuplicates(["__order", "__th"]))
+    return out.select(*docs.columns)
