@@ -1,58 +1,67 @@
 """WARC archives and the monolithic gzip normaliser.
 
 Some writers gzip a whole archive as one stream, which no offset can enter.  The
-normaliser inflates such a stream once, rewrites every record as a gzip member of
-its own, and notes each member's offset and length in a sidecar index.
+normaliser inflates such a file once, piece by piece, rewrites every record as a gzip
+member of its own, and writes a sidecar index of the members' offsets and lengths.
+
+Archives, rewritten archives and sidecars are files in the shared folder.  A task names
+its files after itself and its attempt and returns their names; only names that Spark
+has committed are read on, so files of lost or repeated attempts are never looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
-import io
 import json
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 from typing import BinaryIO
 
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import shared
 
 VERSION = b"WARC/1.1"
-URN = "urn:lectern:page:"
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PIECE = 1 << 16
+SALTS = 16
+
+
+def place(url: str | None) -> str:
+    """The url with white space and control characters as percent codes."""
+    return re.sub(r"[\x00-\x20\x7f-\x9f]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "")
 
 
-def record(kind: str, page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None = None) -> bytes:
-    """One WARC record.  A revisit has no body; its headers give digest and length of the full payload."""
-    place = re.sub(r"[\x00-\x20\x7f-\x9f]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "")
-    name = "" if page is None else page
-    fields = [
-        ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<{URN}{name}>"),
-        ("WARC-Target-URI", place),
-        ("WARC-Payload-Digest", f"sha256:{digest}"),
-        ("X-Payload-Length", len(payload)),
-        ("Content-Type", "text/html; charset=utf-8"),
-    ]
+def record(kind: str, name: str, page: int | None, url: str | None, payload: bytes, digest: str, date: str, refers: str | None = None) -> bytes:
+    """One WARC record of an HTTP response.  A revisit holds the HTTP head alone and names
+    the payload by its digest and the target that has it."""
+    body = HTTP + (payload if kind == "response" else b"")
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", date), ("WARC-Target-URI", place(url)), ("WARC-Payload-Digest", f"sha256:{digest}")]
     if kind == "revisit":
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{URN}{refers}>")]
-        payload = b""
-    head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", len(payload))])
-    return VERSION + b"\r\n" + head.encode("utf-8", "surrogatepass") + b"\r\n" + payload + b"\r\n\r\n"
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To-Target-URI", place(refers)), ("WARC-Refers-To-Date", date)]
+    if page is not None:
+        fields.append(("X-Page-ID", str(page)))
+    fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(body)))]
+    head = "".join(f"{k}: {v}\r\n" for k, v in fields)
+    return VERSION + b"\r\n" + head.encode("utf-8", "surrogatepass") + b"\r\n" + body + b"\r\n\r\n"
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and body of one record."""
+    """Headers and payload of one record; a revisit's payload is empty."""
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "surrogatepass").split("\r\n")
     if lines[0].encode() != VERSION:
         raise ValueError("not a WARC record")
     fields = dict(x.split(": ", 1) for x in lines[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    return fields, rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
 def inflate(source: BinaryIO) -> Iterator[bytes]:
@@ -100,107 +109,164 @@ def normalise(source: BinaryIO, target: BinaryIO) -> Iterator[dict]:
         packed = member(data)
         target.write(packed)
         fields, _ = parse(data)
-        yield {"offset": at, "length": len(packed), "record_id": fields["WARC-Record-ID"], "type": fields["WARC-Type"], "uri": fields["WARC-Target-URI"]}
+        yield {"offset": at, "length": len(packed), "record_id": fields["WARC-Record-ID"], "type": fields["WARC-Type"], "date": fields["WARC-Date"], "uri": fields["WARC-Target-URI"]}
         at += len(packed)
 
 
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a folder that ``spark.checkpoint.dir`` may name."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", uri))
+
+
 def normalise_file(source: str, target: str) -> int:
-    """File form: writes ``target`` and ``target`` + ".idx" (JSON lines); the record count."""
+    """Rewrites the file at ``source`` to ``target`` and its index to ``target`` + ".idx" (JSON
+    lines); the number of records."""
+    files, from_ = opened(source)
+    _, to = opened(target)
     n = 0
-    with open(source, "rb") as i, open(target, "wb") as o, open(f"{target}.idx", "w") as x:
+    with files.open_input_stream(from_, compression=None) as i, files.open_output_stream(to, compression=None) as o, files.open_output_stream(f"{to}.idx") as x:
         for entry in normalise(i, o):
-            x.write(json.dumps(entry) + "\n")
+            x.write(json.dumps(entry).encode() + b"\n")
             n += 1
     return n
 
 
+def entries(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and payload of every record that the sidecar of an archive names, each
+    member entered at its offset alone."""
+    files, at = opened(path)
+    with files.open_input_file(at) as archive, files.open_input_stream(f"{at}.idx") as index:
+        rest = b""
+        while piece := index.read(PIECE):
+            *lines, rest = (rest + piece).split(b"\n")
+            for line in lines:
+                e = json.loads(line)
+                archive.seek(e["offset"])
+                yield parse(zlib.decompress(archive.read(e["length"]), 31))
+
+
+def task_name() -> str:
+    """A name that no other task or attempt has."""
+    return f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
+
+
 def decided(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int) -> DataFrame:
-    """(id, url, html, digest, first): first is the smallest id with an equal payload."""
+    """(id, url, html, digest, first, of): the smallest id with an equal payload and its url,
+    for payloads of at least ``least_bytes``.  A digest of many pages is dealt out by a hash."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    long_ = F.octet_length("html") >= least_bytes
-    firsts = rows.where(long_).groupBy("digest").agg(F.min("id").alias("first"))
-    return rows.join(firsts, "digest", "left").select("id", "url", "html", "digest", "first")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
+    rows = rows.withColumns({"digest": F.sha2(F.col("html").cast("binary"), 256), "salt": F.pmod(F.xxhash64("id", "url"), F.lit(SALTS))})
+    narrow = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest", "salt").agg(F.min("id").alias("first"), F.min(F.struct(F.col("id").isNull(), "id", "url")).alias("head"))
+    firsts = narrow.groupBy("digest").agg(F.min("first").alias("first"), F.min("head")["url"].alias("of"))
+    told = narrow.select("digest", "salt").join(firsts, "digest")
+    return rows.join(told, ["digest", "salt"], "left").select("id", "url", "html", "digest", "first", "of")
 
 
-def archives(rows: DataFrame, archive_bytes: int = 1 << 22) -> DataFrame:
-    """(content): monolithic archives, one gzip stream each, of about ``archive_bytes`` or one larger record."""
+def write_archives(rows: DataFrame, folder: str, date: str, archive_bytes: int) -> DataFrame:
+    """(path): monolithic archive files, one gzip stream each, of about ``archive_bytes``
+    or one larger record."""
 
     def run(batches):
-        machine, parts, size = None, [], 0
+        task, count, at, paths = task_name(), 0, 0, []
+        files, base = opened(folder)
+        out = machine = None
 
         def close():
-            return pa.RecordBatch.from_arrays([pa.array([b"".join([*parts, machine.flush()])], pa.binary())], ["content"])
+            out.write(machine.flush())
+            out.close()
 
         for batch in batches:
-            for page, url, html, digest, first in zip(*(c.to_pylist() for c in batch.columns)):
+            for page, url, html, digest, first, of in zip(*(c.to_pylist() for c in batch.columns)):
                 again = first is not None and first != page
-                data = record("revisit" if again else "response", page, url, shared.utf8(html), digest, first)
-                if machine and size + len(data) > archive_bytes:
-                    yield close()
-                    machine, parts, size = None, [], 0
-                machine = machine or zlib.compressobj(1, zlib.DEFLATED, 31)  # it is read once and rewritten
-                parts.append(machine.compress(data))
-                size += len(data)
-        if machine:
-            yield close()
-
-    return rows.mapInArrow(run, "content binary")
-
-
-INDEX = "array<struct<offset:long,length:long,record_id:string,type:string,uri:string>>"
-
-
-def normalised(monoliths: DataFrame) -> DataFrame:
-    """(content, index): every archive rewritten member by member, with its sidecar index."""
-    kind = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("type", pa.string()), ("uri", pa.string())]))
+                name = uuid.uuid5(uuid.NAMESPACE_URL, f"{task}/{count}")
+                data = record("revisit" if again else "response", str(name), page, url, shared.utf8(html), digest, date, of)
+                count += 1
+                if out and at + len(data) > archive_bytes:
+                    close()
+                    out = None
+                if not out:
+                    paths.append(f"{folder}/{task}-{len(paths)}.warc.gz")
+                    out, machine, at = files.open_output_stream(f"{base}/{task}-{len(paths) - 1}.warc.gz", compression=None), zlib.compressobj(1, zlib.DEFLATED, 31), 0  # read once and rewritten
+                out.write(machine.compress(data))
+                at += len(data)
+        if out:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
+
+    return rows.mapInArrow(run, "path string")
+
+
+def normalised(monoliths: DataFrame, folder: str) -> DataFrame:
+    """(path, records): every archive file rewritten member by member beside its sidecar."""
 
     def run(batches):
+        task, n = task_name(), 0
         for batch in batches:
-            for content in batch.column(0).to_pylist():
-                out = io.BytesIO()
-                index = list(normalise(io.BytesIO(content), out))
-                yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary()), pa.array([index], kind)], ["content", "index"])
-
-    return monoliths.mapInArrow(run, f"content binary, index {INDEX}")
-
-
-def page_of(urn: str | None) -> int | None:
-    found = re.fullmatch(rf"<{URN}(-?\d+)>", urn or "")
-    return int(found[1]) if found else None
-
+            for source in batch.column(0).to_pylist():
+                target = f"{folder}/{task}-{n}.warc.gz"
+                n += 1
+                yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([normalise_file(source, target)], pa.int64())], ["path", "records"])
 
-def read_back(archive: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to): each member
-    entered at its offset alone.  A response's length and digest are taken from its body."""
-    kinds = (("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()))
+    return monoliths.mapInArrow(run, "path string, records long")
 
-    def run(batches):
-        for batch in batches:
-            for content, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = []
-                for e in index:
-                    fields, body = parse(zlib.decompress(content[e["offset"] : e["offset"] + e["length"]], 31))
-                    if fields["WARC-Type"] == "response":
-                        size, digest = len(body), hashlib.sha256(body).hexdigest()
-                        if fields["WARC-Payload-Digest"] != f"sha256:{digest}":
-                            raise ValueError(f"damaged payload of {fields['WARC-Record-ID']}")
-                    else:
-                        size, digest = int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:")
-                    rows.append((page_of(fields["WARC-Record-ID"]), size, digest, fields["WARC-Type"], page_of(fields.get("WARC-Refers-To"))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], [k for k, _ in kinds])
 
-    return archive.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+def spread(paths: DataFrame) -> DataFrame:
+    """A task for each file, up to some ten thousand."""
+    return paths.repartition(min(max(1, paths.count()), 1 << 14))
 
 
-def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, least_bytes: int = 100) -> DataFrame:
-    """(content, index) of normalised archives of all pages, kept in the shared folder.
+def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, least_bytes: int = 100, archive_bytes: int = 1 << 24, date: datetime | None = None) -> DataFrame:
+    """(path, records) of normalised archives of all pages: files in the shared folder, each
+    with the sidecar path + ".idx".
 
     Of equal payloads of at least ``least_bytes`` the smallest id is a response, the
     others revisit it; smaller payloads are all responses.  Null html is an empty
     payload, a null url an empty target.  A row with a null id is never referred to
-    unless all equal rows have null ids; repeated rows become records of their own, of
-    one id all responses.  An empty table gives no archive; other columns are not used.
+    unless all equal rows have null ids, which then are all responses; repeated rows become
+    records of their own, of one id all responses.  ``date`` is every record's, now if not
+    given.  An empty table gives no archive; other columns are not used.
     """
-    monoliths = archives(decided(pages, id_col, url_col, html_col, least_bytes))
-    return shared.cut(normalised(monoliths), "archives")
+    spark = pages.sparkSession
+    when = (date or datetime.now(timezone.utc)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    raw, made = shared.new_path(spark, "monoliths"), shared.new_path(spark, "members")
+    for folder in (raw, made):
+        files, base = opened(folder)
+        files.create_dir(base)
+    paths = shared.cut(write_archives(decided(pages, id_col, url_col, html_col, least_bytes), raw, when, archive_bytes), "paths")
+    out = shared.cut(normalised(spread(paths), made), "archives")
+    shared.remove(spark, raw)
+    return out
+
+
+def read_back(archives: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of all records.  A
+    response's length and digest are those of its payload; a revisit's come from the
+    response that has its digest."""
+    kinds = (("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()))
+
+    def run(batches):
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], [k for k, _ in kinds])
+
+        rows = []
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                for fields, payload in entries(path):
+                    page, kind, digest = fields.get("X-Page-ID"), fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:")
+                    if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
+                        raise ValueError(f"damaged payload of {fields['WARC-Record-ID']}")
+                    rows.append((page and int(page), len(payload) if kind == "response" else None, digest, kind))
+                    if len(rows) >= 4096:
+                        yield out(rows)
+                        rows = []
+        if rows:
+            yield out(rows)
+
+    found = shared.cut(spread(archives.select("path")).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string"), "records")
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
+    revisits = salted.where("record_type = 'revisit'").drop("payload_bytes")
+    firsts = found.where("record_type = 'response'").groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("payload_bytes"))
+    told = revisits.select("payload_digest", "salt").distinct().join(firsts, "payload_digest", "left")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    again = revisits.join(told, ["payload_digest", "salt"]).select(*columns)
+    return found.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(*columns).unionByName(again)
