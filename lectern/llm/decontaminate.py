@@ -95,13 +95,15 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
 
 @dataclass
 class Block:
-    """Benchmark items and a sorted table of their seeds."""
+    """Benchmark items and a sorted table of their seeds; ``short``: items shorter than a
+    seed, by length and hash of the whole."""
 
     ids: list
     items: list[np.ndarray]
     seeds: np.ndarray
     item_of: np.ndarray
     at: np.ndarray
+    short: dict[int, dict[int, list[int]]]
 
 
 def block_of(rows: list[tuple], least: int) -> Block:
@@ -111,7 +113,11 @@ def block_of(rows: list[tuple], least: int) -> Block:
     item = np.repeat(np.arange(len(items)), [len(x) for x in hashes])
     at = np.concatenate([np.arange(len(x)) for x in hashes]) if hashes else item
     order = np.argsort(h, kind="stable")
-    return Block(ids, items, h[order], item[order], at[order])
+    short: dict[int, dict[int, list[int]]] = {}
+    for k, t in enumerate(items):
+        if len(t) < least:
+            short.setdefault(len(t), {}).setdefault(int(window_hashes(t, len(t))[0]), []).append(k)
+    return Block(ids, items, h[order], item[order], at[order], short)
 
 
 def covered(starts: np.ndarray, least: int) -> int:
@@ -122,6 +128,10 @@ def covered(starts: np.ndarray, least: int) -> int:
 def against(text: str | None, block: Block, rules: Rules) -> Iterator[tuple]:
     """(item id, coverage, tiles, item tokens) of items that the text covers enough."""
     doc = tokens(text)
+    for size, by in block.short.items():
+        for h in set(window_hashes(doc, size).tolist()) & by.keys():
+            for k in by[h]:
+                yield block.ids[k], 1.0, 1, size
     h = window_hashes(doc, rules.least)
     if not len(h) or not len(block.seeds):
         return
@@ -157,7 +167,7 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, rules: Rules) -> It
     rows, size = [], 0
     for r in benchmark.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).toLocalIterator():
         item = tokens(r.text)
-        if len(item) < rules.least:
+        if not len(item):
             continue
         if rows and size + len(item) > rules.block_tokens:
             yield block_of(rows, rules.least)
@@ -174,7 +184,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     The benchmark is the stated query set: it goes to the executors in blocks of proven
     size, each against all documents.  Tokens are case-folded runs of word characters.
-    Items and texts of fewer than ``least`` tokens, nulls among them, match nothing.
+    An item of fewer than ``least`` tokens is found where all its tokens stand in a row.
+    Items and texts without a token, nulls among them, match nothing.
     Repeated documents give repeated rows; a null id is given as it is.  An empty table
     on either side gives an empty result; other columns are not used.
     """
@@ -197,3 +208,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     parts = [one(b) for b in blocks(benchmark, item_col, item_text_col, rules)]
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``docs``, whole, whose text holds no benchmark item; see ``leaks``.  Each
+    row is judged by itself, whatever its id; nothing is shuffled."""
+    at = docs.columns.index(text_col)
+    context = docs.sparkSession.sparkContext
+    schema = docs.schema
+    for block in blocks(benchmark.withColumn("__item", F.lit(0)), "__item", item_text_col, rules):
+        held = context.broadcast(block)
+
+        def run(batches, held=held):
+            for batch in batches:
+                texts = batch.column(at).cast(pa.string()).to_pylist()
+                clean = [next(against(t, held.value, rules), None) is None for t in texts]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
