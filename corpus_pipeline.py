@@ -4,19 +4,17 @@ Five stages, each an operator of ``lectern.llm``; what a stage keeps is written
 Parquet and read again as the next one's input.
 
 * quality classifier: rows predicted 0 go.
-* SimHash near-dedup: five-word shingles; of each group the smallest doc_id stays.
-  256-bit fingerprints find who is compared: bits of two texts of Jaccard similarity
-  0.8 differ with probability 0.151, so 39 of 256 on average with a standard
-  deviation of 6; the radius of 56 lies three of these beyond.  The shingle sets of
-  what it joins are then compared, and a similarity of 0.8 or more links.
+* SimHash near-dedup: texts whose sets of five-word shingles reach a Jaccard similarity
+  of 0.8 are linked; of what links join the smallest doc_id stays.
 * substring dedup: of a passage of 50 words or more that repeats, the copy in the
   smallest doc_id stays; elsewhere its words and the white space after them go.
 * benchmark decontamination: documents that hold a benchmark item go.
 * packing: sequences of at most 4096 tokens.
 
-Null or repeated doc_ids: a filtering stage decides by row where it can; rows of one
-doc_id share the fate that any of them meets, and rows without a doc_id are kept by the
-second and fourth stage.  Empty tables pass through every stage.
+Every stage decides by row.  Null doc_ids come after all others in the second and third
+stage, ids that rows of different texts share in the second; of repeated rows of one id
+and text the second stage keeps one.  Null texts are empty.  Empty tables pass through
+every stage, and columns beside those of ``documents`` are left out.
 """
 
 from __future__ import annotations
@@ -34,28 +32,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.quality_scores(docs, table(spark, sf_dir, "labels"))
-    rejected = scored.where("predicted = 0").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    scored = quality.scored_rows(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+    return scored.where(F.col("quality_score") >= quality.Settings().threshold).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = simhash.near_duplicates(docs, size=5, seed=42, radius=56, parts=4, tables=48, key_bits=16, similarity=0.8)
-    copies = classes.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    return simhash.first_of_each(docs.select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = substrings.remove_repeats(docs, window=50)
-    cut = kept.where("n_removed > 0").select(F.col("id").alias("doc_id"), F.col("text").alias("kept")).dropDuplicates(["doc_id"])
-    text = F.coalesce("kept", "text")
-    out = docs.join(cut, "doc_id", "left")
-    return out.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast("long").alias("n_chars"))
+    cut = substrings.remove_repeats(docs, window=50, keep=("lang", "source", "n_chars"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.select(F.col("id").alias("doc_id"), "text", "lang", "source", n_chars.alias("n_chars"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    return decontaminate.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
