@@ -1,6 +1,6 @@
 """Packing into training sequences: vector bin packing with the dot-product heuristic.
 
-An item is a piece of a document with a demand in three dimensions: tokens, segments
+An item is a piece of an example with a demand in three dimensions: tokens, segments
 (one) and loss-bearing tokens.  The open sequence takes, of the items that fit, the one
 whose demand has the largest dot product with what the sequence has left.  Where none
 fits, an item is cut to fill it.  Every partition packs its own rows, so nothing is
@@ -46,14 +46,13 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordEncoder(dict):
-    """Token ids of texts under a tokenizers file whose pre-tokenizer parts words at
-    white space.  Maps a word between ASCII white space to its ids as bytes: each is
-    encoded once and remembered (at most ``most`` words), and the ids of a text are those
-    of its words.
+    """Token ids of texts under a tokenizers file.
 
-    Most words are lower-case Latin letters and a tail of ASCII punctuation.  Where the
-    file's normalizer and pre-tokenizer are known to leave the letters as they are and to
-    part the tail from them, such words go to the file's model directly."""
+    Where the file's normalizer and pre-tokenizer are known to part words at white space
+    and drop it, a word between ASCII white space is encoded once and remembered as bytes
+    of ids (at most ``most`` words), and the ids of a text are those of its words.  Most
+    words are lower-case Latin letters and a tail of ASCII punctuation; they go to the
+    file's model directly.  Under any other file whole texts go to the tokenizer."""
 
     SIMPLE = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 
@@ -73,7 +72,8 @@ class WordEncoder(dict):
         self.lower = steps == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] and not any(self.SIMPLE.fullmatch(b"a" + x) for x in self.specials)
         if self.lower:
             trial = [b"word", b"stra\xc3\x9fe,", b"\xc3\xa9t\xc3\xa9...", b"a-'"]
-            self.lower = all(self[w] == self.whole(w) for w in trial)
+            texts = [" a  b\n", "word\tword", "It's 12 \x1c x", "stra\u00dfe, \u00e9t\u00e9"]
+            self.lower = all(self[w] == self.whole(w) for w in trial) and all(self(t).tobytes() == self.whole(t.encode()) for t in texts)
             self.clear()
 
     def whole(self, word: bytes) -> bytes:
@@ -85,7 +85,7 @@ class WordEncoder(dict):
         return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        m = self.SIMPLE.fullmatch(word) if self.lower else None
+        m = self.SIMPLE.fullmatch(word)
         if m:
             tail = self.tails.get(m[2])
             if tail is None:
@@ -102,9 +102,11 @@ class WordEncoder(dict):
 
     def words(self, text: str | None) -> list[bytes]:
         data = shared.utf8(text)
-        return (data.lower() if self.lower and not any(x[:2] in data for x in self.specials) else data).split()
+        return (data if any(x[:2] in data for x in self.specials) else data.lower()).split()
 
     def __call__(self, text: str | None) -> np.ndarray:
+        if not self.lower:
+            return np.frombuffer(self.whole(shared.utf8(text)), dtype="<u4")
         return np.frombuffer(b"".join(map(self.__getitem__, self.words(text))), dtype="<u4")
 
 
@@ -114,126 +116,141 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def pack(items: list[tuple[int, int, int]], limits: Limits, *, last: bool, spare: int = 0) -> Iterator[list[tuple[int, int, int]]]:
-    """Sequences of pieces (item, start, length) from items (tokens, loss tokens, start).
-
-    Loss-bearing tokens count in proportion to a piece's length, rounded up.  Without
-    ``last``, stops as soon as under ``spare`` tokens are left; what is left then stays in
-    ``items``, which is changed in place to (tokens, loss tokens, start)."""
-    if not items:
-        return
-    tokens = np.array([x[0] for x in items], dtype=np.int64)
-    loss = np.array([x[1] for x in items], dtype=np.int64)
-    start = np.array([x[2] for x in items], dtype=np.int64)
-    scale = np.array([limits.tokens, limits.segments, limits.loss], dtype=float)
-    while True:
-        left = tokens.sum()
-        if not left or not last and left < spare:
-            break
-        room = np.array([limits.tokens, limits.segments, limits.loss], dtype=np.int64)
-        made = []
-        while room[0] > 0 and room[1] > 0:
-            open_ = tokens > 0
-            if not open_.any():
-                break
+class Item:
+    """What is left of an example: ids from ``start`` on, the loss-bearing tokens among the
+    first n of them as ``sums[n]`` (None if all bear loss), and the example's size."""
+
+    def __init__(self, name, ids: np.ndarray, bears: np.ndarray | None) -> None:
+        self.name, self.ids, self.start, self.size = name, ids, 0, len(ids)
+        self.sums = None if bears is None else np.concatenate(([0], np.cumsum(bears)))
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def loss(self, n: int) -> int:
+        return n if self.sums is None else int(self.sums[n])
+
+    def most(self, tokens: int, loss: int) -> int:
+        """The most tokens of the beginning within both bounds."""
+        n = min(len(self), tokens)
+        return min(n, loss) if self.sums is None else min(n, int(np.searchsorted(self.sums, loss, "right")) - 1)
+
+    def cut(self, n: int) -> tuple:
+        """(name, start, ids, loss, size) of the first n tokens, which go."""
+        piece = (self.name, self.start, self.ids[:n], self.loss(n), self.size)
+        # A copy, so that what went does not stay in memory.
+        self.ids, self.start = self.ids[n:].copy(), self.start + n
+        if self.sums is not None:
+            self.sums = self.sums[n:] - self.sums[n]
+        return piece
+
+
+def pack(items: list[Item], limits: Limits, *, last: bool, spare: int = 0) -> Iterator[list[tuple]]:
+    """Sequences of pieces (name, start, ids, loss, size) of the items, which shrink and
+    leave the list.  Without ``last``, stops as soon as under ``spare`` tokens are left."""
+    most = np.array([limits.tokens, limits.segments, limits.loss], dtype=np.int64)
+    tokens = np.array([len(x) for x in items], dtype=np.int64)
+    loss = np.array([x.loss(len(x)) for x in items], dtype=np.int64)
+    while (left := tokens.sum()) and (last or left >= spare):
+        room, made, open_ = most.copy(), [], tokens > 0
+        while room[0] > 0 and room[1] > 0 and open_.any():
+            share = room / most
+            gain = share[0] * tokens / most[0] + share[1] / most[1] + share[2] * loss / most[2]
             fits = open_ & (tokens <= room[0]) & (loss <= room[2])
-            share = room / scale
-            gain = share[0] * tokens / scale[0] + share[1] / scale[1] + share[2] * loss / scale[2]
-            if fits.any():
-                i = int(np.argmax(np.where(fits, gain, -1.0)))
-                take, used = int(tokens[i]), int(loss[i])
-            else:
-                i = int(np.argmax(np.where(open_, gain, -1.0)))
-                take = int(min(tokens[i], room[0]))
-                if loss[i] and -(-loss[i] * take // tokens[i]) > room[2]:
-                    take = int(room[2] * tokens[i] // loss[i])
-                if take <= 0:
-                    break
-                used = int(-(-loss[i] * take // tokens[i]))
-            made.append((i, int(start[i]), take))
-            tokens[i] -= take
-            loss[i] -= used
-            start[i] += take
-            room -= (take, 1, used)
+            i = int(np.argmax(np.where(fits if fits.any() else open_, gain, -1.0)))
+            n = items[i].most(int(room[0]), int(room[2]))
+            if not n:
+                open_[i] = False  # its next token bears loss and no more may
+                continue
+            piece = items[i].cut(n)
+            made.append(piece)
+            tokens[i], loss[i] = len(items[i]), items[i].loss(len(items[i]))
+            open_[i] &= tokens[i] > 0
+            room -= (n, 1, piece[3])
         if not made:
-            raise ValueError("an item fits no empty sequence")
+            raise ValueError("limits must leave room for one token")
         yield made
-    items[:] = list(zip(tokens.tolist(), loss.tolist(), start.tolist()))
+    items[:] = [x for x in items if len(x)]
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, limits: Limits = Limits(), pool: int = 2048, with_ids: bool = False) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset): pieces of documents,
-    every token of which bears loss; ``with_ids`` adds the pieces' ids.
+def pack_examples(rows: DataFrame, tokenizer: str, id_col: str = "id", parts_col: str = "parts", *, end_id: int = 2, limits: Limits = Limits(), pool: int = 2048, with_ids: bool = False) -> DataFrame:
+    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens): pieces of
+    examples; ``with_ids`` adds the pieces' ids.
 
-    A document is its token ids and ``end_id``; null and empty texts are that id alone.
-    Long documents fill whole sequences first.  Up to ``pool`` items wait to be packed
-    (a bound of memory; a pool is packed down to what fills no more than a few sequences
-    and filled again).  Repeated rows and null ids are packed like others.  An empty
-    table gives an empty result; other columns are not looked at.
+    ``parts`` is an array of (text, loss): the example's ids are those of its texts in order
+    and ``end_id``; tokens of a part with ``loss`` bear loss, and ``end_id`` does if the last
+    part does.  A null loss is false; null and empty texts have no ids, a null or empty array
+    is ``end_id`` alone.  Long examples fill whole sequences first.  Up to ``pool`` items wait
+    to be packed (a bound of memory; a pool is packed down to what fills no more than a few
+    sequences and filled again).  Repeated rows and null ids are packed like others.  An
+    empty table gives an empty result; other columns are not looked at.
     """
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    whole = min(limits.tokens, limits.loss)
+    picked = rows.select(F.col(id_col).alias("id"), F.transform(parts_col, lambda p: F.struct(p["text"].cast("string").alias("text"), F.coalesce(p["loss"].cast("boolean"), F.lit(False)).alias("loss"))).alias("parts"))
+    kinds = [pa.int64()] * 7
 
     def run(batches):
         encode = encoder(tokenizer)
         task = TaskContext.get().partitionId()
         count = 0
-        ids, held, items = [], [], []
+        names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens", "ids"][: 8 + with_ids]
+        id_kind = pa.int64()
 
-        def next_id():
+        def placed(made):
             nonlocal count
             count += 1
-            return (task << 32) + count - 1
-
-        def piece(i, start, length, sequence, offset):
-            some = held[i][start : start + length]
-            return (ids[i], start, length, zlib.crc32(some.tobytes()), len(held[i]), sequence, offset, some)
-
-        def packed(last):
-            for made in pack(items, limits, last=last, spare=4 * limits.tokens):
-                sequence, offset = next_id(), 0
-                for i, start, length in made:
-                    yield piece(i, start, length, sequence, offset)
-                    offset += length
-
-        def keep_open():
-            left = [k for k, x in enumerate(items) if x[0]]
-            for part in (ids, held, items):
-                part[:] = [part[k] for k in left]
+            offset = 0
+            for name, start, ids, loss, size in made:
+                yield (name, start, len(ids), zlib.crc32(ids.tobytes()), size, (task << 32) + count - 1, offset, loss, ids)
+                offset += len(ids)
 
         def out(rows):
             cols = list(zip(*rows))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            arrays = [pa.array(cols[0], id_kind), *(pa.array(c, t) for c, t in zip(cols[1:7], kinds))]
+            arrays = [pa.array(cols[0], id_kind), *(pa.array(c, t) for c, t in zip(cols[1:8], kinds))]
             if with_ids:
-                arrays.append(pa.array([x.astype(np.int32) for x in cols[7]], pa.list_(pa.int32())))
+                arrays.append(pa.array([x.astype(np.int32) for x in cols[8]], pa.list_(pa.int32())))
             return pa.RecordBatch.from_arrays(arrays, names)
 
-        names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 7 + with_ids]
-        id_kind = pa.int64()
+        def item(name, parts):
+            made = [(encode(p["text"]), p["loss"]) for p in parts or ()]
+            made.append((np.array([end_id], dtype="<u4"), made[-1][1] if made else True))
+            ids = np.concatenate([x for x, _ in made]).astype("<u4")
+            return Item(name, ids, None if all(y for _, y in made) else np.repeat([y for _, y in made], [len(x) for x, _ in made]))
+
+        items = []
         for batch in batches:
             id_kind = batch.column(0).type
             rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = np.append(encode(text), np.uint32(end_id)).astype("<u4")
-                ids.append(i)
-                held.append(tokens)
-                at = 0
-                while len(tokens) - at >= whole:
-                    rows.append(piece(len(held) - 1, at, whole, next_id(), 0))
-                    at += whole
-                items.append((len(tokens) - at, len(tokens) - at, at))
+            for name, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = item(name, parts)
+                while len(x) and (n := x.most(limits.tokens, limits.loss)) and (n == limits.tokens or x.loss(n) == limits.loss):
+                    rows += placed([x.cut(n)])
+                if len(x):
+                    items.append(x)
                 if len(items) >= pool:
-                    rows += packed(False)
-                    keep_open()
+                    for made in pack(items, limits, last=False, spare=4 * limits.tokens):
+                        rows += placed(made)
                 if len(rows) >= 4096:
                     yield out(rows)
                     rows = []
             if rows:
                 yield out(rows)
-        rows = list(packed(True))
+        rows = [r for made in pack(items, limits, last=True) for r in placed(made)]
         if rows:
             yield out(rows)
 
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
+    return picked.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long" + ", ids array<int>" * with_ids)
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """``pack_examples`` of documents: one text, every token of which bears loss."""
+    whole = F.array(F.struct(F.col(text_col).cast("string").alias("text"), F.lit(True).alias("loss")))
+    return pack_examples(docs.select(F.col(id_col).alias("id"), whole.alias("parts")), tokenizer, **more)
+
+
+def pack_conversations(turns: DataFrame, tokenizer: str, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learned: tuple[str, ...] = ("assistant",), **more) -> DataFrame:
+    """``pack_examples`` of conversations: turns in order, of which those of ``learned`` roles
+    bear loss.  Rows of one turn number are ordered by role and text."""
+    part = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(role_col).isin(*learned), F.lit(False)).alias("loss"))
+    whole = turns.groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    return pack_examples(whole, tokenizer, **more)
