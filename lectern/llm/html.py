@@ -2,9 +2,13 @@
 
 Pages of one host are aligned in bounded groups: every page's DOM tree is matched to a
 pivot page's by simple tree matching (the most nodes in order-preserving pairs of equal
-tags).  A node whose own text is the same on all pages that have it is template; nodes
-that vary are content slots.  The slots' text, less link text and less regions that
-markup names as furniture, elects the page's main region, whose blocks are the result.
+tags), pages that match badly to a pivot of their own layout.  A node whose own text is
+the same on all pages that have it is template; nodes that vary are content slots.  The
+slots' text, less link text, elects the page's main region, whose blocks are the result.
+
+Markup comes second: elements that are furniture by their nature (nav, form, script, ...)
+hold no content; a class, id or role that names furniture removes a subtree of the
+region only while that holds the smaller part of what varies.
 """
 
 from __future__ import annotations
@@ -43,15 +47,25 @@ FURNITURE = set("head script style title noscript template nav footer aside form
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPE = {"table", "ul", "ol", "dl", "select", "article", "section", "div", "main", "body", "html"}
-#: Words in class or id, and roles, that name furniture.
-WORDS = set(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "newsletter subscribe signup sidebar widget nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer comment comments respond disqus reply replies "
-    "share sharing social related recommended pagination pager toolbar skip".split()
+#: Words in class or id that name furniture wherever they stand, words that do
+#: where every word of the name is furniture or neutral ("site-header", not "post-header"), and
+#: the neutral ones.
+SURE = set("sidebar newsletter navbar masthead breadcrumb breadcrumbs pagination pager popup modal disqus comments advert adverts advertisement advertisements advertising adsense gdpr".split())
+LIKELY = set(
+    "ad ads banner sponsor sponsored promo promotion promoted cookie cookies consent notice notices alert alerts overlay subscribe signup subscription widget widgets nav navigation menu menus header "
+    "topbar footer comment respond reply replies share sharing social related recommended recommendations toolbar skip".split()
+)
+NEUTRAL = set(
+    "site page main top bottom left right box block list container wrapper wrap inner outer area section item items posts articles stories link links bar bars button buttons icon icons global primary "
+    "secondary content slot unit zone row col group panel bottom fixed sticky thread tree form text to for by the a js id".split()
 )
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
 #: Cells of a table of child lists; longer lists are halved until they fit.
 CELLS = 250_000
+#: Different pages that must agree on a text; the share of a page's prose beyond which what
+#: agrees is one article on several pages and no template; the share of its elements that
+#: a page must match to have a pivot's layout.
+LEAST, COPIES, LAYOUT = 3, 0.8, 0.5
 
 
 @dataclass
@@ -275,85 +289,123 @@ def texts_hash(texts: dict[int, str]) -> int:
     return hash(tuple(sorted(texts.items())))
 
 
-def templates(pages: list[Page], least: int = 4) -> list[set[int]]:
+def templates(pages: list[Page], least: int = LEAST) -> list[set[int]]:
     """For each page the elements that are template: their own text is equal on all
-    pages, of ``least`` or more with different texts, that align with the pivot."""
+    pages, ``least`` or more with different texts and half of those of a layout, that
+    align with the layout's pivot."""
     matcher = Matcher()
     shapes = [matcher.shape(p) for p in pages]
     texts = [own_texts(p) for p in pages]
     wholes = [texts_hash(t) for t in texts]
-    if len(set(wholes)) < least:
-        return [set() for _ in pages]
-    pivot = max(range(len(pages)), key=lambda k: (len(pages[k].tag), -k))
-    maps = [matcher.align(shapes[pivot], s) for s in shapes]
-    seen: dict[int, dict[int, str]] = {}
-    for whole, own, to in zip(wholes, texts, maps):
-        for y, x in to.items():
-            seen.setdefault(x, {})[whole] = own.get(y, "")
-    fixed = {x for x, by in seen.items() if len(by) >= max(least, len(set(wholes)) // 2) and len(set(by.values())) == 1 and next(iter(by.values()))}
-    return [{y for y, x in to.items() if x in fixed} for to in maps]
-
-
-def furniture(tag: str, attrs: str) -> bool:
-    if tag in FURNITURE:
-        return True
-    if not attrs:
-        return False
+    out: list[set[int]] = [set() for _ in pages]
+    left = list(range(len(pages)))
+    while len({wholes[k] for k in left}) >= least:
+        pivot = max(left, key=lambda k: (len(pages[k].tag), -k))
+        maps = {k: matcher.align(shapes[pivot], shapes[k]) for k in left}
+        like = [k for k in left if k == pivot or len(maps[k]) >= LAYOUT * len(pages[k].tag)]
+        left = [k for k in left if k not in like]
+        seen: dict[int, dict[int, str]] = {}
+        for k in like:
+            for y, x in maps[k].items():
+                seen.setdefault(x, {})[wholes[k]] = texts[k].get(y, "")
+        enough = max(least, len({wholes[k] for k in like}) // 2)
+        fixed = {x for x, by in seen.items() if len(by) >= enough and len(set(by.values())) == 1 and next(iter(by.values()))}
+        for k in like:
+            out[k] = {y for y, x in maps[k].items() if x in fixed}
+    return [t if copied(p, t) <= COPIES else set() for p, t in zip(pages, out)]
+
+
+def copied(page: Page, template: set[int]) -> float:
+    """The share of a page's prose that is template: text outside furniture and links."""
+    n = len(page.tag)
+    aside = [False] * n
+    for i in range(n):
+        aside[i] = page.tag[i] in FURNITURE or page.tag[i] == "a" or page.parent[i] >= 0 and aside[page.parent[i]]
+    sizes = [(i in template, len(t)) for i, t in page.texts if t and not aside[i] and not t.isspace()]
+    return sum(n for fixed, n in sizes if fixed) / max(1, sum(n for _, n in sizes))
+
+
+def names_furniture(value: str) -> bool:
+    """Whether a class or id names furniture."""
+    for name in value.split():
+        parts = [x for x in re.split(r"[_-]+|(?<=[a-z])(?=[A-Z])", name) if x]
+        words = {x.lower() for x in parts if not x.isdigit()}
+        if words & SURE or words & LIKELY and words <= LIKELY | NEUTRAL:
+            return True
+    return False
+
+
+def named(attrs: str) -> bool:
+    """Whether attributes name furniture."""
+    return any(m[1].lower() in ("class", "id") and names_furniture(m[2] or m[3] or m[4] or "") or m[1].lower() == "role" and (m[2] or m[3] or m[4] or "").lower() in ROLES for m in NAME.finditer(attrs))
+
+
+def hidden(attrs: str) -> bool:
     for m in NAME.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and WORDS & set(re.split(r"[\s_-]+", value)):
-            return True
-        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
     return False
 
 
+def sums(page: Page, counts) -> list[int]:
+    """Running totals of the sizes of texts for which ``counts(element)`` holds, by element."""
+    own = [0] * (len(page.tag) + 1)
+    for i, text in page.texts:
+        if text and counts(i):
+            own[i + 1] += len(text.strip())
+    return list(accumulate(own))
+
+
 def main_text(page: Page, template: set[int]) -> str:
     """The blocks of the main region, each in one line."""
     n = len(page.tag)
-    own, links = [0] * (n + 1), [0] * (n + 1)
-    linked = [False] * n
+    linked, never, literal = [False] * n, [False] * n, [False] * n
     for i in range(n):
-        linked[i] = page.tag[i] == "a" or page.parent[i] >= 0 and linked[page.parent[i]]
-    for i, text in page.texts:
-        if text and page.tag[i] not in FURNITURE:
-            size = len(text.strip())
-            links[i + 1] += size if linked[i] else 0
-            own[i + 1] += 0 if linked[i] or i in template else size
-    total = list(accumulate(own))
-    prose = lambda i: total[page.end[i]] - total[i]
+        p = page.parent[i]
+        linked[i] = page.tag[i] == "a" or p >= 0 and linked[p]
+        literal[i] = page.tag[i] in ("pre", "code") or p >= 0 and literal[p]
+        never[i] = p >= 0 and never[p] or page.tag[i] in FURNITURE or hidden(page.attrs[i])
     mains = [i for i in range(n) if page.tag[i] in ("article", "main") or re.search(r"role\s*=\s*[\"']?main\b", page.attrs[i])]
-    all_prose = prose(0)
-    out = [False] * n
+    # Furniture by nature that holds a main element is a wrapper (a form around a whole page).
+    for i in range(n):
+        if page.tag[i] in FURNITURE and page.tag[i] not in RAW and any(i < k < page.end[i] for k in mains):
+            outer = page.parent[i] >= 0 and never[page.parent[i]]
+            for k in range(i, page.end[i]):
+                p = page.parent[k]
+                never[k] = outer or p > i and never[p] or k > i and (page.tag[k] in FURNITURE or hidden(page.attrs[k]))
+    slots = sums(page, lambda i: not never[i] and not linked[i] and i not in template)
+    varying = lambda i: slots[page.end[i]] - slots[i]
+    out = never[:]
     for i in range(n):
         p = page.parent[i]
+        holds = any(i < k < page.end[i] for k in mains)
         if p >= 0 and out[p]:
             out[i] = True
-        elif furniture(page.tag[i], page.attrs[i]):
-            holds = any(i < k < page.end[i] for k in mains) or page.tag[i] not in FURNITURE and 2 * prose(i) > all_prose
-            out[i] = not holds
+        elif not out[i] and not literal[i] and page.attrs[i] and named(page.attrs[i]):
+            # Names break ties: they remove the smaller part of what varies where they stand,
+            # and on a page with a main element all of what stands outside it.
+            around = next((k for k in reversed(mains) if k < i < page.end[k]), None)
+            out[i] = not holds and (around is None and bool(mains) or 2 * varying(i) <= varying(around or 0))
         elif page.tag[i] == "header":
-            out[i] = not any(i < k < page.end[i] for k in mains)
+            out[i] = not holds
     # a header of an article keeps its headings
     for i in range(n):
-        if page.tag[i] in HEADINGS and out[i]:
+        if page.tag[i] in HEADINGS and out[i] and not never[i]:
             p = page.parent[i]
             while p >= 0 and out[p] and page.tag[p] in ("div", "hgroup", "a", "span"):
                 p = page.parent[p]
             if p >= 0 and page.tag[p] == "header" and any(k < p < page.end[k] for k in mains) and not out[page.parent[p]]:
                 for k in range(i, page.end[i]):
                     out[k] = False
-    kept = [0] * (n + 1)
-    for i, text in page.texts:
-        if text and not out[i]:
-            kept[i + 1] += 0 if linked[i] or i in template else len(text.strip())
-    total = list(accumulate(kept))
+    kept = sums(page, lambda i: not out[i] and not linked[i] and i not in template)
+    prose = lambda i: kept[page.end[i]] - kept[i]
     live = [i for i in mains if not out[i]]
     articles = [i for i in live if page.tag[i] == "article"] or live
-    if articles:
-        region = max(articles, key=lambda i: (prose(i), i))
+    best = max(articles, key=lambda i: (prose(i), i), default=None)
+    # An article or main element is the region unless what varies stands elsewhere.
+    if best is not None and 2 * prose(best) >= prose(0):
+        region = best
     else:
         region = 0
         children: list[list[int]] = [[] for _ in range(n)]
@@ -361,21 +413,35 @@ def main_text(page: Page, template: set[int]) -> str:
             children[page.parent[i]].append(i)
         while True:
             below = [i for i in children[region] if page.tag[i] in BLOCK and page.tag[i] not in ("p", "pre", "li", "blockquote", *HEADINGS)]
-            best = max(below, key=prose, default=None)
-            if best is None or prose(best) * 10 < prose(region) * 7 or not prose(best):
+            largest = max(below, key=prose, default=None)
+            if largest is None or prose(largest) * 10 < prose(region) * 7 or not prose(largest):
                 break
-            region = best
-    blocks, now = [], []
+            region = largest
+    blocks: list[tuple[bool, bool, str]] = []
+    now: list[tuple[int, str]] = []
+
+    def close():
+        # A constant heading goes with what follows it; other constant text is template.
+        heading = any(page.tag[i] in HEADINGS for i, _ in now)
+        fixed = bool(now) and heading and all(i in template for i, t in now if t.strip())
+        some = [t for i, t in now if fixed or i not in template]
+        text = SPACE.sub(" ", entities.unescape("".join(some))).strip()
+        if text:
+            blocks.append((fixed, heading, text))
+        now.clear()
+
     for i, text in page.texts:
         if text is None:
-            if now:
-                blocks.append("".join(now))
-                now = []
-        elif region <= i < page.end[region] and not out[i] and i not in template:
-            now.append(text)
-    blocks.append("".join(now))
-    clean = (SPACE.sub(" ", entities.unescape(b)).strip() for b in blocks)
-    return "\n".join(b for b in clean if b)
+            close()
+        elif region <= i < page.end[region] and not out[i]:
+            now.append((i, text))
+    close()
+    lines: list[str] = []
+    for k, (fixed, _, text) in enumerate(blocks):
+        follows = next((not f and not h for f, h, _ in blocks[k + 1 :]), False) if fixed else True
+        if follows:
+            lines.append(text)
+    return "\n".join(lines)
 
 
 def extract_group(sources: list[str | None]) -> list[str]:
@@ -384,58 +450,75 @@ def extract_group(sources: list[str | None]) -> list[str]:
     return [main_text(p, t) for p, t in zip(pages, templates(pages))]
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, group: int = 32, salt_over: int = 512, broadcast_hosts: int = 50_000) -> DataFrame:
+def extract_host(sources: list[str | None], guests: list[str | None], group: int) -> list[str]:
+    """Main texts of different pages of one host, aligned in groups of up to ``group``, to
+    each of which the ``guests`` come."""
+    parsed = {s: parse(s or "") for s in dict.fromkeys([*sources, *guests])}
+    out: list[str] = []
+    rounds = -(-len(sources) // group)
+    at = 0
+    for left in range(rounds, 0, -1):
+        some = sources[at : at - (-(len(sources) - at) // left)]
+        at += len(some)
+        held = set(some)
+        pages = [parsed[s] for s in [*some, *(g for g in guests if g not in held)]]
+        out += [main_text(p, t) for p, t in zip(pages[: len(some)], templates(pages))]
+    return out
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, group: int = 32, salt_over: int = 64, guests: int = 8, broadcast_hosts: int = 50_000) -> DataFrame:
     """(id, url, text, n_chars): the main text of every page.
 
-    A host's different pages are taken in groups of ``group``, the last of which share
-    evenly, so none is left with a few; a host of over ``salt_over`` pages is dealt out by a
-    hash of the id first.  Pages of equal texts stand in one group and count once in it, and
-    equal html is extracted once.  Only a host, or part of one, with fewer than four
-    different pages has no template and goes by markup alone.  Null html gives an empty text; a null or odd url belongs to the host "".
-    Repeated rows are extracted one by one; null ids are allowed.  An empty table gives
-    an empty result; other columns are not used.
+    A host of over ``salt_over`` pages is dealt out by a hash of id and url, and ``guests``
+    of its different pages go to every part, so that parts full of copies have pages to
+    compare with and all parts some in common.  In a part, different pages are aligned in
+    groups of up to ``group``, the guests in each; equal html is extracted once.  Only a
+    host with fewer than three different pages has no template and goes by markup alone.
+
+    Null html gives an empty text; a null or odd url belongs to the host "".  Repeated rows
+    are extracted one by one; null ids are allowed.  An empty table gives an empty result;
+    other columns are not used.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
-    large = shared.cut(rows.groupBy("host").count().where(F.col("count") > salt_over).select("host", F.ceil(F.col("count") / salt_over).cast("long").alias("n")), "hosts")
+    rows = rows.withColumns({"h": F.xxhash64("html"), "own": F.xxhash64("id", "url")})
+    # One page for each class of hashes; the sizes of the classes add up to the host's.
+    picked = rows.groupBy("host", F.pmod("h", F.lit(guests)).alias("k")).agg(F.count("*").alias("n"), F.min(F.struct("h", "own")).alias("guest"))
+    large = picked.groupBy("host").agg(F.sum("n").alias("n"), F.collect_list("guest").alias("guests")).where(F.col("n") > salt_over)
+    large = shared.cut(large.select("host", F.ceil(F.col("n") / salt_over).cast("int").alias("n"), "guests"), "hosts")
     # Up to broadcast_hosts large hosts are sent to all tasks, which saves a shuffle of the pages; more are joined.
     large = F.broadcast(large) if large.count() <= broadcast_hosts else large
-    dealt = rows.join(large, "host", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("n", F.lit(1)))).select("host", "salt", "id", "url", "html")
+    told = rows.join(large, "host", "left").withColumn("salt", F.pmod("own", F.coalesce("n", F.lit(1))).cast("int"))
+    visits = F.when(F.array_contains("guests", F.struct("h", "own")), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array("salt"))
+    dealt = told.withColumn("to", F.explode(visits)).select("host", "to", (F.col("to") != F.col("salt")).alias("visits"), F.coalesce(F.array_contains("guests", F.struct("h", "own")), F.lit(False)).alias("guest"), "id", "url", "html")
     id_kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        # By text, then by html: the ids and urls that have it.
-        held: dict[int, dict[str | None, list[tuple]]] = {}
-        text_of: dict[str | None, int] = {}
         key, kind = None, pa.int64()
-
-        def done(n):
-            some = [held.pop(t) for t in list(held)[:n]]
-            sources = [source for by in some for source in by]
-            for source in sources:
-                del text_of[source]
-            for own, text in zip((rows_ for by in some for rows_ in by.values()), extract_group(sources)):
+        # By html: the ids and urls that have it.
+        held: dict[str | None, list[tuple]] = {}
+        invited: dict[str | None, None] = {}
+
+        def done():
+            sources = list(held)
+            for source, text in zip(sources, extract_host(sources, list(invited)[: 2 * guests], group)):
+                own = held[source]
                 for at in range(0, len(own), 1024):
                     ids, urls = zip(*own[at : at + 1024])
                     yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(urls, pa.string()), pa.array([text] * len(ids), pa.string()), pa.array([len(text)] * len(ids), pa.int64())], ["id", "url", "text", "n_chars"])
-
-        def rest():
-            for left in range(-(-len(held) // group), 0, -1):
-                yield from done(-(-len(held) // left))
+            held.clear()
+            invited.clear()
 
         for batch in batches:
-            kind = batch.column(2).type
-            for host, salt, id_, url, source in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != (host, salt):
-                    yield from rest()
-                    key = (host, salt)
-                if source not in text_of:
-                    text_of[source] = texts_hash(own_texts(parse(source or "")))
-                    if text_of[source] not in held and len(held) >= 2 * group:
-                        new = text_of.pop(source)
-                        yield from done(group)
-                        text_of[source] = new
-                held.setdefault(text_of[source], {}).setdefault(source, []).append((id_, url))
-        yield from rest()
-
-    return dealt.repartition("host", "salt").sortWithinPartitions("host", "salt", "id").mapInArrow(run, f"id {id_kind}, url string, text string, n_chars long")
+            kind = batch.column(4).type
+            for host, to, visits, guest, id_, url, source in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != (host, to):
+                    yield from done()
+                    key = (host, to)
+                if guest:
+                    invited[source] = None
+                if not visits:
+                    held.setdefault(source, []).append((id_, url))
+        yield from done()
+
+    return dealt.repartition("host", "to").sortWithinPartitions("host", "to", "id").mapInArrow(run, f"id {id_kind}, url string, text string, n_chars long")
