@@ -1,6 +1,7 @@
 """Every operator against a brute-force version, and on awkward tables."""
 
 import collections
+import datetime
 import hashlib
 import io
 import math
@@ -70,17 +71,55 @@ def test_packing_places_every_id_once(spark, awkward, empty):
 
 def test_packing_keeps_all_three_limits():
     limits = packing.Limits(tokens=100, segments=3, loss=40)
-    rng = random.Random(1)
-    items = [(t := rng.randrange(1, 90), rng.randrange(0, t + 1), 0) for _ in range(300)]
-    rest = list(items)
-    placed = collections.defaultdict(int)
-    for made in packing.pack(rest, limits, last=True):
-        assert len(made) <= 3 and sum(n for *_, n in made) <= 100
-        assert sum(n for *_, n in made) > 0
-        for i, start, n in made:
-            assert start == placed[i]
-            placed[i] += n
-    assert placed == {i: t for i, (t, _, _) in enumerate(items)}
+    rng = np.random.default_rng(1)
+    ids = [rng.integers(0, 99, n).astype("<u4") for n in rng.integers(1, 150, 300)]
+    bears = [rng.random(len(x)) < rng.random() for x in ids]
+    items = [packing.Item(k, x, None if k % 5 == 0 else y) for k, (x, y) in enumerate(zip(ids, bears))]
+    got, full = collections.defaultdict(list), 0
+    for made in packing.pack(items, limits, last=True):
+        n, loss = sum(len(p[2]) for p in made), sum(p[3] for p in made)
+        assert 0 < n <= 100 and len(made) <= 3 and loss <= 40
+        full += loss == 40
+        for name, start, some, loss, size in made:
+            assert size == len(ids[name]) and loss == (len(some) if name % 5 == 0 else bears[name][start : start + len(some)].sum())
+            got[name].append((start, some.tolist()))
+    assert {k: [x for _, y in sorted(v) for x in y] for k, v in got.items()} == {k: x.tolist() for k, x in enumerate(ids)}
+    assert full > 50 and not items
+
+
+def test_conversations_pack_with_their_own_loss(spark):
+    path = queries.tokenizer_path()
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    rng = random.Random(3)
+    turns = [(c, t, ("user", "assistant")[t % 2], words(rng, rng.randrange(40))) for c in range(40) for t in range(4)] + [(99, 0, None, None), (98, 0, "assistant", "")]
+    table = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    got = packing.pack_conversations(table.coalesce(1), path, limits=packing.Limits(256, 4, 48), with_ids=True).collect()
+    ids, loss, used = collections.defaultdict(list), collections.Counter(), collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: r.start):
+        ids[r.id] += r.ids
+        loss[r.id] += r.loss_tokens
+        used[r.sequence_id].append(r)
+    for c in range(40):
+        own = [(tokenizer.encode(t, add_special_tokens=False).ids, role == "assistant") for k, _, role, t in turns if k == c]
+        assert ids[c] == [x for y, _ in own for x in y] + [2] and loss[c] == sum(len(y) for y, learned in own if learned) + 1
+    assert ids[99] == ids[98] == [2] and (loss[99], loss[98]) == (0, 1)
+    sums = [(sum(r.length for r in v), len(v), sum(r.loss_tokens for r in v)) for v in used.values()]
+    assert all(a <= 256 and b <= 4 and c <= 48 for a, b, c in sums) and sum(c == 48 for *_, c in sums) > len(sums) // 2
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    letters = [*map(chr, range(0x21, 0x7F)), "\u0120", "\u010a"]
+    vocabulary = {x: k for k, x in enumerate(letters)} | {"\u0120w": 300, "\u0120w0": 301}
+    tokenizer = Tokenizer(models.BPE(vocabulary, [("\u0120", "w"), ("\u0120w", "0")]))
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    path = str(tmp_path / "own.json")
+    tokenizer.save(path)
+    text = "w0 w0  w1\nw0"
+    assert packing.WordEncoder(path)(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_word_encoder_equals_the_tokenizer():
@@ -172,41 +211,110 @@ def test_checked_links_join_only_similar_texts(spark):
             w[rng.randrange(len(w))] = f"n{rng.randrange(9)}"
         texts.append(" ".join(w))
     texts += ["", None, "one two"]
-    docs = spark.createDataFrame([(3 * i, t) for i, t in enumerate(texts)], "id long, text string")
-    sets = [set(simhash.shingle_set(t, 5, 42).tolist()) for t in texts]
+    docs = spark.createDataFrame([(3 * i, t) for i, t in enumerate(texts)], "node long, text string")
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
     links = [(i, j) for i in range(120) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
     want = groups(len(texts), links)
     labels = spark.createDataFrame([(3 * i, 0) for i in range(len(texts))], "node long, component long")
     for block in (16, 2048):
         got = list(range(len(texts)))
-        for r in shared.components(simhash.checked_links(docs, labels, 5, 42, 0.8, rows=block)).collect():
+        for r in shared.components(simhash.checked_links(docs, labels, 5, 0.8, rows=block)).collect():
             got[r.node // 3] = r.component // 3
         assert got == want
 
 
-def test_checked_near_duplicates_on_awkward_tables(awkward, empty):
-    settings = {"size": 5, "radius": 56, "parts": 4, "tables": 48, "similarity": 0.8}
-    rows = simhash.near_duplicates(awkward, **settings).collect()
-    assert len(rows) == awkward.where("doc_id IS NOT NULL").count()
-    assert {r.component_id for r in rows if r.id in (0, 1, 2)} == {0} and {r.component_id for r in rows if r.id in (3, 4, 5, 9)} == {3}
-    assert simhash.near_duplicates(empty, **settings).count() == 0
+def plain_classes(texts):
+    """Class of each text by all pairs of shingle sets."""
+    sets = []
+    for t in texts:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    return groups(len(sets), links)
+
+
+def edited(rng, base, k):
+    w = list(base)
+    for _ in range(k):
+        at = rng.randrange(len(w) + 1)
+        w[at : at + rng.randrange(2)] = [f"n{rng.randrange(50)}"] * rng.randrange(2)
+    return " ".join(w)
+
+
+def test_similar_texts_of_all_lengths_are_found(spark):
+    """Every pair at 0.8, short texts and just reached thresholds among them; a frequent passage changes nothing."""
+    rng = random.Random(21)
+    hot = words(rng, 30)
+    texts = ["", None, " ", "a", "A", "a b"]
+    for n in [*range(4, 24), 40, 80, 200]:
+        base = words(rng, n, 2000).split()
+        texts += [edited(rng, base, k) for k in (0, 0, 1, 1, 1, 2, 2, 3, n // 12, n // 8)]
+    texts += [f"{hot} {words(rng, 12, 5000)}" for _ in range(150)]
+    want = plain_classes(texts)
+    docs = spark.createDataFrame([(3 * i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    for s in (simhash.Similar(), simhash.Similar(often=2, total=4)):
+        assert sorted(r.doc_id // 3 for r in simhash.first_of_each(docs, s=s).collect()) == sorted(set(want))
+
+
+def test_small_sets_stay_within_the_radius():
+    """At a similarity of 0.8 fingerprints of small sets, which differ the most, keep well below the radius."""
+    rng = np.random.default_rng(5)
+    s = simhash.Similar()
+    for both, one, two in [(4, 1, 0), (4, 0, 1), (8, 1, 1), (8, 2, 0), (12, 3, 0), (16, 2, 2), (40, 5, 5), (400, 50, 50)]:
+        far = []
+        for _ in range(150):
+            x = rng.integers(0, 1 << 63, both + one + two, dtype=np.uint64)
+            a, b = x[: both + one], np.concatenate((x[:both], x[both + one :]))
+            far.append(int(np.bitwise_count(simhash.majority(iter([a]), 4) ^ simhash.majority(iter([b]), 4)).sum()))
+        assert np.mean(far) + 5 * np.std(far) < s.radius, (both, one, two, np.mean(far), np.std(far))
+
+
+def test_one_row_of_each_class_stays(spark, awkward, empty):
+    kept = simhash.first_of_each(awkward).collect()
+    assert collections.Counter(r.doc_id for r in kept) == collections.Counter([0, 3, 6, 7, 8, 10])
+    assert simhash.first_of_each(awkward).columns == awkward.columns and simhash.first_of_each(empty).count() == 0
+    rows = [(9, "x " * 9, "a"), (9, words(random.Random(1), 20), "b"), (None, "x " * 9, "c"), (None, "only here", "d"), (None, "only here", "e"), (4, "z z z", "f"), (4, "z z z", "g")]
+    got = simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert collections.Counter(r.text for r in got) == {r: 1 for r in {t for _, t, _ in rows}}
+
+
+def test_meetings_go_over_batches():
+    import pyarrow as pa
+
+    rows = [(1, 5), (1, 7), (1, 9), (2, 3), (3, 4), (3, 4), (4, 1), (4, 6)]
+    for cuts in ([8], [2, 6], [1] * 8):
+        batches, at = [], 0
+        for n in cuts:
+            batches.append(pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[at : at + n]], pa.int64()) for k in (0, 1)], ["key", "h"]))
+            at += n
+        got = {(r["key"], r["h"]) for b in simhash.meetings(batches) for r in b.to_pylist()}
+        assert got == {(5, 5), (5, 7), (5, 9), (1, 1), (1, 6)}
 
 
 def test_blocks_of_a_large_bucket_link_like_one(spark):
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 1 << 20, 300).astype(np.int64)
     nodes = spark.createDataFrame([(i, int(p)) for i, p in enumerate(prints)], "node long, f0 long")
-    masks = [[m] for m in simhash.block_masks(3)]
     links = [(i, j) for i in range(300) for j in range(i) if int(prints[i] ^ prints[j]).bit_count() <= 3]
     want = groups(300, links)
     for block in (16, 4096):
-        found = shared.components(simhash.near_links(nodes, masks, 3, block=block)).collect()
+        found = shared.components(simhash.near_links(simhash.block_keys(nodes, 3), 3, block=block)).collect()
         got = list(range(300))
         for r in found:
             got[r.node] = r.component
         assert got == want
 
 
+def test_blocks_compare_all_pairs_however_they_are_grouped():
+    rng = np.random.default_rng(3)
+    for n, few in ((200, 2), (200, 60), (700, 9)):
+        prints = rng.integers(0, 1 << 63, (n, 2), dtype=np.uint64)
+        prints = prints[rng.integers(0, max(1, n // few), n)] ^ (np.uint64(1) << rng.integers(0, 64, (n, 2), dtype=np.uint64))
+        want = groups(n, [(i, j) for i in range(n) for j in range(i) if np.bitwise_count(prints[i] ^ prints[j]).sum() <= 3])
+        links = [(int(i), int(j)) for a, b in simhash.spanning_links(prints, 3, queries=16) for i, j in zip(a, b)]
+        assert groups(n, links) == want
+
+
 def test_simhash_on_awkward_tables(awkward, empty):
     rows = simhash.near_duplicates(awkward).collect()
     assert len(rows) == awkward.count()
@@ -244,21 +352,53 @@ def test_embeddings_equal_all_pairs(spark):
     assert embeddings.near_vectors(table.where("vec_id < 903 AND vec_id >= 900")).count() == 3
 
 
+def test_links_inside_a_dense_group_are_found(spark):
+    """A third of all rows just below the threshold: windows are full of what is no link."""
+    rng = np.random.default_rng(4)
+    centre = np.eye(64)[0]
+
+    def around(k):
+        r = rng.standard_normal((k, 64))
+        r[:, 0] = 0
+        return np.sqrt(0.88) * centre + np.sqrt(0.12) * r / np.linalg.norm(r, axis=1, keepdims=True)
+
+    x = around(1500)
+    other = around(60)
+    other -= np.einsum("ij,ij->i", other, x[:60])[:, None] * x[:60]
+    x = np.concatenate([x, 0.955 * x[:60] + np.sqrt(1 - 0.955**2) * other / np.linalg.norm(other, axis=1, keepdims=True), rng.standard_normal((3000, 64))])
+    table = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.95).sum(axis=1) - 1
+    got = {r.id: r.n_links for r in embeddings.near_vectors(table).collect()}
+    assert want.sum() >= 120 and [got[i] for i in range(len(x))] == want.tolist()
+
+
+def test_vectors_of_repeated_and_missing_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (None, [1.0, 0.01]), (None, [5.0, -5.0])]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == [(0, 0, 0, False), (0, 1, 0, False), (1, 1, 0, False), (1, 1, 1, True), (2, 1, 1, False)] or len(got) == 5
+
+
 # --- 4 substrings
 
 
 def plain_substrings(rows, window):
+    """Sorted answers for (id, text) rows; rows of one id take nothing from each other."""
     rows = [(i, (t or "").encode().split()) for i, t in rows]
     first = {}
     for i, w in rows:
         for k in range(len(w) - window + 1):
             key = tuple(w[k : k + window])
             first[key] = min(i, first.get(key, i))
-    out = {}
+    out = []
     for i, w in rows:
         gone = {p for k in range(len(w) - window + 1) if first[tuple(w[k : k + window])] < i for p in range(k, k + window)}
-        out[i] = (len(w), len(gone), hashlib.sha256(b" ".join(x for p, x in enumerate(w) if p not in gone)).hexdigest())
-    return out
+        out.append((i, len(w), len(gone), hashlib.sha256(b" ".join(x for p, x in enumerate(w) if p not in gone)).hexdigest()))
+    return sorted(out)
+
+
+#: One byte of a hash, small rounds and buckets: everything collides and is cut everywhere.
+NARROW = substrings.Sizes(sent=1, round=60, opened=50, bucket_bytes=300)
 
 
 def test_substrings_equal_brute_force(spark, awkward, empty):
@@ -266,49 +406,40 @@ def test_substrings_equal_brute_force(spark, awkward, empty):
     shared_part = words(rng, 40)
     rows = [(i, f"{words(rng, rng.randrange(60), 12)} {shared_part if i % 3 == 0 else ''}\n{words(rng, 15, 4)}") for i in range(120)]
     rows += [(200, None), (201, ""), (202, rows[0][1]), (203, "a " * 500), (204, "a " * 400)]
+    # Rows of one id with different and with equal texts, and a negative id.
+    rows += [(50, words(rng, 30, 12)), (50, rows[7][1]), (9, f"AAA {shared_part} tail"), (-3, rows[3][1]), (60, rows[60][1])]
     random.Random(1).shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     for window in (1, 5, 13):
-        got = substrings.remove_repeats(docs, window=window, digest=True).collect()
-        assert {r.id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == plain_substrings(rows, window)
-    full = substrings.remove_repeats(docs, window=13).collect()
-    want = plain_substrings(rows, 13)
-    for r in full:
-        assert sum(x["end"] - x["start"] for x in r.intervals) == r.n_removed
-        assert hashlib.sha256(b" ".join((r.text or "").encode().split())).hexdigest() == want[r.id][2]
+        for sizes in (substrings.Sizes(), NARROW):
+            got = substrings.remove_repeats(docs, window=window, digest=True, sizes=sizes).collect()
+            assert sorted((r.id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == plain_substrings(rows, window)
+    full = substrings.remove_repeats(docs.withColumn("found", F.lit("x")), window=13, keep=("found",)).collect()
+    assert all(sum(x["end"] - x["start"] for x in r.intervals) == r.n_removed and r.found == "x" for r in full)
+    assert sorted((r.id, r.n_words, r.n_removed, hashlib.sha256(b" ".join((r.text or "").encode().split())).hexdigest()) for r in full) == plain_substrings(rows, 13)
     assert substrings.remove_repeats(awkward, window=13).count() == awkward.count()
     assert substrings.remove_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("buckets", [1, 2, 16, 98, 256, 400])
-def test_windows_compare_on_all_64_bits(monkeypatch, buckets):
-    import pyarrow as pa
-
-    hashes = {b"a": 12345, **{f"x{k}".encode(): 12345 ^ 1 << k for k in range(64)}}
-    monkeypatch.setattr(substrings, "window_hashes", lambda words, window: words)
-    monkeypatch.setattr(substrings, "word_hashes", lambda words: np.array([hashes[w] for w in words], dtype=np.uint64))
-    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t])], ["id", "text"]) for i, t in enumerate(["a", " ".join(f"x{k}" for k in range(64)), "x5 a"])]
-    rows = sorted(r for b in substrings.sent(batches, 1, buckets) for r in zip(*(c.to_pylist() for c in b.columns)))
-    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4))], ["bucket", "hashes", "counts", "ids", "starts"])
-    found = [r for b in substrings.counted([batch], buckets) for r in zip(*(c.to_pylist() for c in b.columns))]
-    named = sorted((int(i), int(s)) for _, *row in found for i, s in zip(*substrings.run_values(*row)))
-    assert named == [(2, 0), (2, 1)]
-
+def test_rows_without_an_id_give_way(spark):
+    text = words(random.Random(2), 30)
+    rows = spark.createDataFrame([(None, text), (7, text), (None, "only " + words(random.Random(3), 30))], "doc_id long, text string")
+    assert sorted((r.id or 0, r.n_removed) for r in substrings.remove_repeats(rows).collect()) == [(0, 0), (0, 30), (7, 0)]
 
-def test_small_rounds_change_nothing():
-    rng = random.Random(4)
-    import pyarrow as pa
 
-    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(40)), "text": [words(rng, 50, 6) for _ in range(40)]})
+def test_texts_are_shuffled_once(spark, sf_dir):
+    df = substrings.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
 
-    def answer(most):
-        rows = [r for b in substrings.sent([batch], 4, 7, most) for r in b.to_pylist()]
-        rows.sort(key=lambda r: r["bucket"])
-        told = list(substrings.counted([pa.RecordBatch.from_pylist(rows)], 3))
-        rows = sorted((r for b in told for r in b.to_pylist()), key=lambda r: r["part"])
-        return {r["key"]: substrings.unpacked(r["found"]).tolist() for b in substrings.gathered([pa.RecordBatch.from_pylist(rows)]) for r in b.to_pylist()}
 
-    assert answer(60) == answer(1 << 20)
+def test_runs_come_back():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 500):
+        who, nth, at = rng.integers(-5, 1 << 62, n), rng.integers(0, 2, n), rng.integers(0, 1 << 20, n)
+        order = np.lexsort((at, nth, who))
+        back = substrings.run_values(*substrings.run_lengths(who[order], nth[order], at[order]))
+        assert all((a == b[order]).all() for a, b in zip(back, (who, nth, at)))
 
 
 # --- 5 HTML
@@ -416,14 +547,63 @@ def test_html_leftovers_and_copies_have_a_template(spark):
     assert all("Terms" not in r.text and "rights" not in r.text and len(r.text.split("\n")) == 2 for r in got)
 
 
+def laid_out(rng, layout):
+    """A page of one of three layouts, constant furniture without telling names, and its main text."""
+    paras, title = [words(rng, 30, 900) for _ in range(rng.randrange(2, 6))], words(rng, 4, 900)
+    body = "".join(f"<p>{p}</p>" for p in paras)
+    if layout == 0:
+        related = words(rng, 12, 900)
+        inner = f"<div class='post-header'><h1>{title}</h1></div>{body}<section class='related-work'><h2>Related work</h2><p>{related}</p></section><p>All rights reserved by us</p>"
+        return f"<body><div class='content main'>Welcome to our portal <p>Terms apply to all visits and more words</p></div><div class='sidebar'>{inner}</div><div class='footer-box'>Contact us</div></body>", "\n".join([title, *paras, "Related work", related])
+    if layout == 1:
+        return f"<body><table><tr><td>Our offices are open daily</td><td><h2>{title}</h2>{body}<div>Sign in to read more of this</div></td></tr></table></body>", "\n".join([title, *paras])
+    head = f"<header><h1>{title}</h1><span>By someone</span></header>"
+    return f"<body><header><h1>The Site</h1></header><main><article>{head}{body}<div class='comments'><p>{words(rng, 20)}</p></div></article><div class='share-box'>Share</div></main><footer>x</footer></body>", "\n".join([title, *paras])
+
+
+def test_induction_decides_on_hosts_of_all_sizes(spark, monkeypatch):
+    rng = random.Random(31)
+    every = [laid_out(rng, k % 3) for k in range(600)]
+    few, some = every[:9], every[:32]
+    rows = [(k, f"http://{host}/{k}", s) for host, made in (("three", few[::3]), ("nine", few), ("some", some), ("many", every)) for k, (s, _) in enumerate(made)]
+    want = {(f"http://{host}/{k}"): t for host, made in (("three", few[::3]), ("nine", few), ("some", some), ("many", every)) for k, (_, t) in enumerate(made)}
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.url: r.text for r in got} == want and len(got) == len(rows)
+    monkeypatch.setattr(html, "templates", lambda pages, least=3: [set() for _ in pages])
+    plain = html.extract_host([s for s, _ in some], [], 32)
+    assert sum(a != t for a, (_, t) in zip(plain, some)) >= len(some) // 2
+
+
+def test_copies_of_one_article_are_no_template():
+    rng = random.Random(32)
+    body = "".join(f"<p>{words(rng, 30)}</p>" for _ in range(5))
+    pages_ = [f"<body><div>{body}</div><div><a href=/{k}>{words(rng, 3)}</a> copy {k}</div></body>" for k in range(5)]
+    assert all(len(t) > 400 for t in html.extract_group(pages_))
+
+
+def test_names_of_furniture():
+    for name in ("sidebar", "site-header", "comment-list", "adBox", "ad-slot-3", "cookie_notice", "share"):
+        assert html.names_furniture(name), name
+    for name in ("post-header", "related-work", "article", "ad-hoc-analysis", "entry-content", "menuetto"):
+        assert not html.names_furniture(name), name
+
+
+def test_a_very_long_page(spark):
+    long_ = "<article>" + "<p>word word</p>" * 30_000 + "</article>"
+    r = html.extract(spark.createDataFrame([(1, "http://h/", long_)], "page_id long, url string, html string")).first()
+    assert r.n_chars == 30_000 * 10 - 1
+
+
 # --- 6 WARC
 
 
-def test_warc_round_trip(spark, tmp_path):
+def test_warc_round_trip(spark):
     big = "x" * 150
-    rows = [(5, "http://a", big), (3, "http://b\r\nX: 1", big), (9, None, big), (1, "u", "small"), (2, "u", "small"), (4, "é", None), (7, "u", "é" * 99), (8, "u", "é" * 99), (8, "u", "é" * 99)]
+    rows = [(5, "http://a", big), (3, "http://b\r\nX: 1", big), (9, None, big), (1, "u", "small"), (2, "u", "small"), (4, "é", None), (7, "u", "é" * 99), (8, "u", "é" * 99), (8, "u", "é" * 99), (11, "h", "a\r\n\r\nb" * 50)]
+    rows += [(12 + k, "hot", "hot page " * 20) for k in range(40)] + [(60, "long", "long " * 200_000)]
     pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, digest int")
-    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_back(warc.archive_pages(pages)).collect())
+    archives = warc.archive_pages(pages, archive_bytes=2000, date=datetime.datetime(2020, 1, 2))
+    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_back(archives).collect())
     want = []
     for i, _, h in rows:
         data = (h or "").encode()
@@ -431,20 +611,33 @@ def test_warc_round_trip(spark, tmp_path):
         again = len(data) >= 100 and same != i
         want.append((i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", same if again else None))
     assert got == sorted(want)
+    fields = [f for a in archives.collect() for f, _ in warc.entries(a.path)]
+    assert len({f["WARC-Record-ID"] for f in fields}) == len(rows) and {f["WARC-Date"] for f in fields} == {"2020-01-02T00:00:00Z"}
+    assert {f["WARC-Refers-To-Target-URI"] for f in fields if f["WARC-Type"] == "revisit"} == {"http://b%0D%0AX:%201", "u", "hot"}
     assert warc.read_back(warc.archive_pages(pages.limit(0))).count() == 0
 
 
+def test_warc_pages_without_an_id(spark):
+    rows = [(None, "a", "z" * 200), (None, "b", "z" * 200), (None, "c", "y" * 200), (4, "d", "y" * 200)]
+    got = warc.read_back(warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes) for r in got) == [(0, "response", 0, 200), (0, "response", 0, 200), (0, "revisit", 4, 200), (4, "response", 0, 200)]
+
+
 def test_warc_normaliser_on_files(tmp_path):
-    data = [warc.record("response", i, f"http://x/{i}", f"body {i}\r\n\r\n".encode() * (i + 1), "d") for i in range(20)]
+    import uuid
+
+    data = [warc.record("response", str(uuid.uuid4()), i, f"http://x/{i}", f"body {i}\r\n\r\n".encode() * (i + 1), "d", "2020-01-01T00:00:00Z") for i in range(20)]
     packed = zlib.compressobj(6, zlib.DEFLATED, 31)
     (tmp_path / "whole.gz").write_bytes(packed.compress(b"".join(data)) + packed.flush())
-    assert warc.normalise_file(str(tmp_path / "whole.gz"), str(tmp_path / "parts.gz")) == 20
+    target = str(tmp_path / "parts.gz")
+    assert warc.normalise_file(str(tmp_path / "whole.gz"), target) == 20
     parts = (tmp_path / "parts.gz").read_bytes()
     import json
 
     for line, whole in zip((tmp_path / "parts.gz.idx").read_text().splitlines(), data):
         entry = json.loads(line)
         assert zlib.decompress(parts[entry["offset"] : entry["offset"] + entry["length"]], 31) == whole
+    assert [body for _, body in warc.entries(target)] == [f"body {i}\r\n\r\n".encode() * (i + 1) for i in range(20)]
     again = io.BytesIO()
     assert len(list(warc.normalise(io.BytesIO(parts), again))) == 20 and again.getvalue() == parts
     with pytest.raises(ValueError):
@@ -494,12 +687,13 @@ def test_reordered_passages_are_found(spark, awkward, empty):
     rng = random.Random(13)
     items = [(k, " ".join(f"q{k}x{i}" for i in range(40))) for k in range(5)] + [(8, None), (9, "too short"), (10, "")]
     parts = items[2][1].split()
-    docs = [(1, words(rng, 50) + " " + items[0][1].upper() + ", " + words(rng, 10)), (2, " ".join(parts[20:] + ["gap"] * 3 + parts[:20])), (3, " ".join(parts[:15])), (4, words(rng, 400)), (5, None), (6, "")]
+    docs = [(7, "it is Too, short!"), (None, items[4][1]), (1, words(rng, 50) + " " + items[0][1].upper() + ", " + words(rng, 10)), (2, " ".join(parts[20:] + ["gap"] * 3 + parts[:20])), (3, " ".join(parts[:15])), (4, words(rng, 400)), (5, None), (6, "")]
     d = spark.createDataFrame([(*x, 0) for x in docs], "doc_id long, text string, item_id int")
     b = spark.createDataFrame(items, "item_id long, text string")
     for rules in (decontaminate.Rules(), decontaminate.Rules(block_tokens=50)):
-        assert sorted((r.id, r.item_id) for r in decontaminate.leaks(d, b, rules=rules).collect()) == [(1, 0), (2, 2)]
-    assert decontaminate.leaks(awkward, b).count() == 0 and decontaminate.leaks(empty, b).count() == 0 and decontaminate.leaks(d, b.limit(0)).count() == 0
+        assert sorted((r.id or 0, r.item_id) for r in decontaminate.leaks(d, b, rules=rules).collect()) == [(0, 4), (1, 0), (2, 2), (7, 9)]
+        assert sorted(r.doc_id for r in decontaminate.without_leaks(d, b, rules=rules).collect()) == [3, 4, 5, 6]
+    assert decontaminate.without_leaks(awkward, b).count() == awkward.count() and decontaminate.leaks(empty, b).count() == 0 and decontaminate.leaks(d, b.limit(0)).count() == 0
 
 
 # --- 8 chat
@@ -554,14 +748,32 @@ def test_quality_learns_and_holds_out(spark, awkward, empty):
 
 def test_quality_features_of_pieces_and_space(monkeypatch):
     s = quality.Settings()
-    text = words(random.Random(15), 400)
+    text = words(random.Random(15), 400) + " " + "long" * 400 + " é ﬁ  tail\n"
     own = np.sort(quality.features(text, s))
-    assert (np.sort(quality.features("\n\t ".join(text.split()), s)) == own).all()
-    monkeypatch.setattr(quality, "PIECE", 300)
-    cut = quality.features(text, s)
-    assert abs(len(cut) - len(own)) <= 8 * (len(text) // 300 + 1)
+    assert (np.sort(quality.features("\n\t ".join(text.split()) + " ", s)) == own).all()
+    for piece in (1, 7, 300):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        assert (np.sort(quality.features(text, s)) == own).all()
     assert len(quality.features(None, s)) == len(quality.features("", s)) == 0
-    assert np.count_nonzero(quality.features("a a b b b", s) == quality.SAME) == 3
+
+
+def test_quality_features_are_words_pairs_and_grams():
+    s = quality.Settings(buckets=1 << 40, grams=(3,))
+    a, b = quality.features("ab cd", s), quality.features("cd ab", s)
+    # Two words, one pair, three grams of three bytes.
+    assert len(a) == len(b) == 2 + 1 + 3 and len(np.intersect1d(a, b)) == 2
+    assert len(np.intersect1d(quality.features("xx xx", s), quality.features("yy yy", s))) == 1
+
+
+def test_scores_are_the_plain_forward_pass():
+    rng = random.Random(16)
+    texts, labels = [words(rng, 20, 40) if k % 2 else words(rng, 20, 40).upper() for k in range(60)], [k % 2 for k in range(60)]
+    s = quality.Settings(buckets=1 << 12)
+    numbers, bias = quality.train(texts, labels, s)
+    for t in ("", *texts[:8]):
+        f = quality.features(t, s)
+        assert abs(quality.mean_of(t, numbers, s) - (sum(float(numbers[k]) for k in f) / len(f) if len(f) else 0)) < 1e-6
+    assert all((bias + quality.mean_of(t, numbers, s) > 0) == (y == 1) for t, y in zip(texts, labels))
 
 
 # --- 10 Hilbert
@@ -599,3 +811,21 @@ def test_shard_files_and_manifest(spark, sf_dir, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 1000
     rows = hilbert.manifest(docs, places, "doc_id", ["n_chars", "source"]).collect()
     assert sum(r.rows for r in rows) == 1000 and all(r.min_n_chars <= r.max_n_chars for r in rows)
+
+
+def test_manifest_prunes_on_every_dimension(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    places = shared.cut(hilbert.hilbert_shards(docs))
+    rows = hilbert.manifest(docs, places, "doc_id", ["lang", "source"]).collect()
+    for column in ("lang", "source"):
+        holds = docs.join(places, docs.doc_id == places.id).groupBy(column).agg(F.countDistinct("shard").alias("n")).collect()
+        opened = sum(r[f"min_{column}"] <= h[column] <= r[f"max_{column}"] for r in rows for h in holds)
+        assert opened <= 1.5 * sum(h.n for h in holds)
+    sizes = places.groupBy("shard").agg(F.min("size").alias("a"), F.max("size").alias("b")).collect()
+    assert all(sum(r.a <= q <= r.b for r in sizes) <= 12 for q in (100, 1500, 8000))
+
+
+def test_codes_rise_with_values(spark):
+    rows = spark.createDataFrame([(v,) for v in ["", "a", "ab", "abc", "b", "é", "zz"] for _ in range(50)], "dim string")
+    got = [r.code for r in hilbert.order_codes(rows, "dim", 5).orderBy(F.col("dim").cast("binary")).collect()]
+    assert got == sorted(got) and len(set(got)) == 7
