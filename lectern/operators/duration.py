@@ -57,13 +57,13 @@ def fit(clean: DataFrame) -> Model:
 
     def line(df: DataFrame) -> Model:
         a, b, n = df.agg(F.regr_slope("secs", "chars"), F.regr_intercept("secs", "chars"), F.count("*")).first()
-        return Model(a, b, n) if n >= 50 and a is not None else Model(1 / 15.5, 0.0, n)
+        return Model(a, b, n) if a is not None and b is not None else Model(1 / 15.5, 0.0, n)
 
     try:
         now, kept = line(rows), rows
+        if now.n < 50:
+            return Model(1 / 15.5, 0.0, now.n)
         for _ in range(3):
-            if now.n < 50:
-                return now
             off = F.col("secs") - (F.lit(now.a) * F.col("chars") + F.lit(now.b))
             mid = median(kept, off, now.n)
             mad = max(median(kept, F.abs(off - mid), now.n), 1e-6)

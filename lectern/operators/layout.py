@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,9 +49,9 @@ def baseline_rows(lines: DataFrame) -> DataFrame:
 
 
 def spellings(text: str) -> dict[str, dict[str, int]]:
-    """How often each folded word is spelled in which way."""
+    """How often each folded word is spelled in which way, in composed form."""
     out: dict[str, dict[str, int]] = {}
-    for w in re.findall(r"[^\W\d_]+", text):
+    for w in re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", text)):
         own = out.setdefault(w.casefold(), {})
         own[w] = own.get(w, 0) + 1
     return out

@@ -12,6 +12,7 @@ FILL = """coalesce(CASE WHEN p IS NOT NULL AND conf < 0.6 THEN p END, CASE WHEN
 PAGED = f"(SELECT doc, i, CASE WHEN pk % 3 = 0 THEN NULL ELSE i + pk % 2 END AS p, (sk % 10) / CAST(10 AS DOUBLE) AS conf FROM {CHUNKS} c)"
 NOTES = "(SELECT item_id AS note, text AS quote FROM benchmark)"
 FOUND = f"(SELECT n.note, n.quote, d.doc_id AS pid, d.text, instr(d.text, n.quote) AS pos FROM {NOTES} n JOIN documents d ON instr(d.text, n.quote) > 0)"
+CLICKS = "(SELECT o_orderkey AS doc, o_orderkey % 3 AS page, CAST(o_orderkey % 500 AS DOUBLE) AS px, CAST(o_custkey % 700 AS DOUBLE) AS py FROM orders)"
 LOG = "(SELECT user_id AS doc, ts, event_id, event_type AS state FROM events)"
 
 PLANS = {
@@ -25,9 +26,10 @@ PLANS = {
     "token_page_word": f"SELECT n.doc, n.k, w.page FROM (SELECT o_orderkey AS doc, CAST(1 + o_orderkey % 7 AS INT) AS k FROM orders) n LEFT JOIN (SELECT doc, ord, max(page) AS page FROM {WORDS} w GROUP BY doc, ord) w ON w.doc = n.doc AND w.ord = n.k",
     "page_fallback_fill": f"SELECT doc, i, {FILL.format('doc', 'i')} AS page_only FROM {PAGED} p",
     "segment_fallback_fill": f"SELECT doc, chunk, i, coalesce({FILL.format('doc, chunk', 'i')}, CASE WHEN p IS NULL THEN whole END) AS page_only FROM (SELECT *, CAST(i DIV 3 AS BIGINT) AS chunk, doc % 5 AS whole FROM {PAGED} q) p",
-    "point_in_rect": f"""SELECT doc, page, block, line, px, py FROM (SELECT s.doc, s.page, s.block, s.line, c.px, c.py, row_number() OVER (PARTITION BY s.doc, c.page ORDER BY s.block, s.line) AS rn
-      FROM (SELECT o_orderkey AS doc, o_orderkey % 3 AS page, CAST(o_orderkey % 500 AS DOUBLE) AS px, CAST(o_custkey % 700 AS DOUBLE) AS py FROM orders) c
-      JOIN {SPANS} s ON s.doc = c.doc AND s.page = c.page AND c.px BETWEEN s.x0 - 1 AND s.x1 + 1 AND c.py BETWEEN s.y0 - 1 AND s.y1 + 1) x WHERE rn = 1""",
+    # Every click: the first line whose box, one point wider, holds it; else the first line of the page; else none.
+    "point_in_rect": f"""SELECT c.doc, c.page, c.px, c.py, coalesce(h.at, f.at) DIV 100 AS block, coalesce(h.at, f.at) % 100 AS line, CASE WHEN h.at IS NOT NULL THEN 'rect' WHEN f.at IS NOT NULL THEN 'page' ELSE 'none' END AS kind FROM {CLICKS} c
+      LEFT JOIN (SELECT k.doc, k.page, k.px, k.py, min(s.block * 100 + s.line) AS at FROM {CLICKS} k JOIN {SPANS} s ON s.doc = k.doc AND s.page = k.page AND k.px BETWEEN s.x0 - 1 AND s.x1 + 1 AND k.py BETWEEN s.y0 - 1 AND s.y1 + 1 GROUP BY k.doc, k.page, k.px, k.py) h ON h.doc = c.doc AND h.page = c.page AND h.px = c.px AND h.py = c.py
+      LEFT JOIN (SELECT doc, page, min(block * 100 + line) AS at FROM {SPANS} s GROUP BY doc, page) f ON f.doc = c.doc AND f.page = c.page""",
     "note_reanchor_exact": f"SELECT note, pid, CAST((pos - 1) DIV 400 AS BIGINT) AS chunk_idx, CAST((pos - 1) % 400 AS BIGINT) AS char_off FROM {FOUND} f",
     "note_chunk_quote": f"SELECT note, pid, left(substr(text, CAST(pos AS INT)), 120) AS quote FROM {FOUND} f",
     "note_reanchor_apply": f"SELECT n.id, coalesce(m.new, n.idx) AS idx FROM (SELECT l_orderkey * 10 + l_linenumber AS id, l_linenumber AS idx, l_orderkey AS doc FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) x) n LEFT JOIN (SELECT o_orderkey AS doc, CAST(3 AS INT) AS old, CAST(5 AS INT) AS new FROM orders UNION ALL SELECT o_orderkey, CAST(5 AS INT), CAST(7 AS INT) FROM orders) m ON m.doc = n.doc AND m.old = n.idx",

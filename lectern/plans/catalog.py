@@ -9,7 +9,7 @@ FOLDERS = """(SELECT CAST(1 + r_regionkey AS BIGINT) AS id, CAST(0 AS BIGINT) AS
 
 ANCESTORS = f"""up AS (
   SELECT id AS folder, id AS at, parent_id, name, 0 AS steps FROM {FOLDERS} f
-  UNION ALL SELECT u.folder, f.id, f.parent_id, f.name, u.steps + 1 FROM up u JOIN {FOLDERS} f ON f.id = u.parent_id WHERE u.steps < 32)"""
+  UNION ALL SELECT u.folder, f.id, f.parent_id, f.name, u.steps + 1 FROM up u JOIN {FOLDERS} f ON f.id = u.parent_id)"""
 
 ITEMS = """(SELECT o_orderkey AS id, 1000 + o_custkey AS folder_id, CASE WHEN o_orderkey % 5 = 0 THEN 'attachment' ELSE 'paper' END AS kind, o_orderkey % 17 = 0 AS deleted,
   CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 1000 END AS ord, o_orderdate AS created, concat('Order ', CAST(o_orderkey AS STRING)) AS title, concat('order_', CAST(o_orderkey AS STRING), '.pdf') AS orig_name,
@@ -37,9 +37,7 @@ META, PRINTED = WORDS.format("CASE WHEN page_id % 5 = 0 THEN concat('untitled sc
 
 PLANS = {
     "folder_ancestors": f"WITH RECURSIVE {ANCESTORS} SELECT folder, @[listagg(name, '/') WITHIN GROUP (ORDER BY steps DESC)@|string_agg(name, '/' ORDER BY steps DESC)@] AS path, count(*) AS depth FROM up GROUP BY folder",
-    "folder_move_guard": f"""WITH RECURSIVE {ANCESTORS}, moves AS (SELECT id AS folder, CASE WHEN id % 3 = 0 THEN 1 + id % 5 WHEN id % 3 = 1 THEN id ELSE 100 + id % 25 END AS target FROM {FOLDERS} f WHERE id < 1200)
-      SELECT m.folder, m.target, m.folder <> m.target AND u.at IS NULL AS allowed FROM moves m LEFT JOIN up u ON u.folder = m.target AND u.at = m.folder""",
-    "folder_move_guard_all": f"""WITH RECURSIVE {ANCESTORS}, moves AS (SELECT id AS folder, CASE WHEN id % 3 = 0 THEN 1 + id % 5 WHEN id % 3 = 1 THEN id ELSE 100 + id % 25 END AS target FROM {FOLDERS} f)
+    "folder_move_guard": f"""WITH RECURSIVE {ANCESTORS}, moves AS (SELECT id AS folder, CASE WHEN id % 3 = 0 THEN 1 + id % 5 WHEN id % 3 = 1 THEN id ELSE 100 + id % 25 END AS target FROM {FOLDERS} f)
       SELECT m.folder, m.target, m.folder <> m.target AND u.at IS NULL AS allowed FROM moves m LEFT JOIN up u ON u.folder = m.target AND u.at = m.folder""",
     "folder_delete_reparent": f"""SELECT f.id, coalesce(g.parent_id, f.parent_id) AS parent_id, f.name FROM {FOLDERS} f LEFT JOIN (SELECT id, parent_id FROM {FOLDERS} d WHERE id BETWEEN 100 AND 124 AND id % 4 = 0) g ON g.id = f.parent_id
       WHERE NOT (f.id BETWEEN 100 AND 124 AND f.id % 4 = 0)""",
@@ -47,8 +45,10 @@ PLANS = {
     "ensure_path": """SELECT DISTINCT concat_ws('/', CASE WHEN k >= 1 THEN a END, CASE WHEN k >= 2 THEN b END, CASE WHEN k >= 3 THEN c END) AS path, k AS depth FROM (
       SELECT r_name AS a, n_name AS b, c_mktsegment AS c FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey) p CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) t
       WHERE NOT (k = 1 AND a IN (SELECT r_name FROM region WHERE r_regionkey < 2))""",
-    "unique_names": f"""SELECT id, concat(base, CASE WHEN n = 1 THEN '' ELSE concat(' (', CAST(n AS STRING), ')') END) AS name FROM (
-      SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY CASE WHEN known THEN 0 ELSE 1 END, id) AS n FROM {NAMES} n WHERE base NOT LIKE '%)') x""",
+    # The first of a base keeps it; the k-th other one gets the k-th number from 2 on that no base has as its own.
+    "unique_names": f"""SELECT x.id, concat(x.base, CASE WHEN x.n = 1 THEN '' ELSE concat(' (', CAST(@[aggregate(coalesce(t.taken, CAST(array() AS ARRAY<BIGINT>)), x.n, (c, k) -> CASE WHEN k <= c THEN c + 1 ELSE c END)@|list_reduce(list_prepend(x.n, coalesce(t.taken, CAST([] AS BIGINT[]))), lambda c, k: CASE WHEN k <= c THEN c + 1 ELSE c END)@] AS STRING), ')') END) AS name FROM (
+      SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY CASE WHEN known THEN 0 ELSE 1 END, id) AS n FROM {NAMES} n) x
+      LEFT JOIN (SELECT stem, @[sort_array(collect_list(k))@|list_sort(list(k))@] AS taken FROM (SELECT DISTINCT RX(base, R' \\([0-9]+\\)$', '') AS stem, CAST(@[regexp_extract(base, r' \\(([0-9]+)\\)$', 1)@|regexp_extract(base, ' \\(([0-9]+)\\)$', 1)@] AS BIGINT) AS k FROM {NAMES} m WHERE MATCH(base, R' \\([0-9]+\\)$')) y GROUP BY stem) t ON t.stem = x.base""",
     "library_items": f"SELECT id, folder, title, CAST(chunks AS BIGINT) AS chunks, CAST(suspects AS BIGINT) AS suspects, has_pdf, has_wav FROM {LIBRARY} l WHERE NOT deleted",
     "item_state": f"SELECT id, {STATE} AS state FROM {LIBRARY} l",
     "library_totals": f"""SELECT count_if(kind = 'paper') AS docs, count_if(kind <> 'paper') AS files, count_if({STATE} = 'narrated') AS ready, CAST(sum(chunks) AS BIGINT) AS chunks,

@@ -106,6 +106,12 @@ def compared_words(spark, sf_dir):
     return opened(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha1(words("text")).alias("words_sha1"))
 
 
+def ngram_dup_coverage(spark, sf_dir):
+    """Share of a document's words under repeated runs of four words, row by row."""
+    cover = speech.batched(speech.dup_coverage, "double")
+    return opened(spark, sf_dir, "documents").select("doc_id", cover("text").alias("coverage"))
+
+
 def lint_rows(spark, sf_dir, only: str = "TRUE"):
     return dialect.run(spark, sf_dir, f"SELECT doc, i, chars, secs FROM {lint.ROWS} r WHERE {only}")
 
@@ -157,7 +163,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_rows, chunk_plan, chunk_quote, chunk_rate_flag, sentence_span_rows, needle_token_rows, token_alignment, alignment_confidence, edit_op_summary, note_reanchor_fuzzy, baseline_rows,
-        unicode_text, repairable_tokens, spoken_numbers, compared_words, title_recase, title_rejoin, duration_model, predicted_seconds, stream_latest_state, stream_progress,
+        unicode_text, repairable_tokens, spoken_numbers, compared_words, title_recase, title_rejoin, ngram_dup_coverage, duration_model, predicted_seconds, stream_latest_state, stream_progress,
     )
 }
 
@@ -165,5 +171,10 @@ QUERIES = {
 ORACLE = {
     "stream_latest_state": "SELECT user_id AS doc, event_type AS state FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) e WHERE rn = 1",
     "stream_progress": "SELECT user_id AS doc, count(*) AS seen, CAST(least(99, (100 * count(CASE WHEN event_type = 'view' THEN 1 END)) // count(*)) AS BIGINT) AS pct FROM events GROUP BY user_id",
+    "ngram_dup_coverage": """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents),
+      g AS (SELECT doc_id, len(w) AS n, unnest(range(0, greatest(len(w) - 3, 0))) AS pos, w FROM w WHERE len(w) >= 8),
+      t AS (SELECT doc_id, n, pos, count(*) OVER (PARTITION BY doc_id, array_to_string(w[pos + 1:pos + 4], ' ')) AS times FROM g),
+      c AS (SELECT doc_id, n, count(DISTINCT pos + k) AS covered FROM t, range(4) r(k) WHERE times > 1 GROUP BY doc_id, n)
+      SELECT w.doc_id, coalesce(round(c.covered / c.n, 3), 0) AS coverage FROM w LEFT JOIN c ON c.doc_id = w.doc_id""",
     **{name: dialect.duck_sql(plan) for name, plan in lint.MODEL_SQL.items()},
 }

@@ -29,15 +29,21 @@ def log_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{parent}/{name}*")
 
 
-def drained(df: DataFrame, mode: str, timeout: int = 240) -> DataFrame:
-    """The sink's rows when everything at hand is read; stops after ``timeout`` seconds."""
+def drained(df: DataFrame, mode: str) -> DataFrame:
+    """The sink's rows when everything at hand is read: a table beside the checkpoint, which
+    each batch replaces in complete mode and adds to otherwise."""
+    folder = checkpoint_folder(df.sparkSession)
+    kind = "overwrite" if mode == "complete" else "append"
+
+    def add(batch: DataFrame, _: int) -> None:
+        batch.write.mode(kind).parquet(f"{folder}/rows")
+
+    df.writeStream.outputMode(mode).foreachBatch(add).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     spark = df.sparkSession
-    name = f"t{uuid.uuid4().hex}"
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint_folder(spark)).trigger(availableNow=True).start()
-    if not query.awaitTermination(timeout):
-        query.stop()
-        raise TimeoutError("the stream did not end in time")
-    return spark.table(name)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
 
 
 def latest_state_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -61,7 +67,7 @@ def windowed_events(events: DataFrame, width: str = "1 day", late: str = "1 hour
     return timed.groupBy(F.window("at", width), "event_type").agg(F.count("*").alias("n"))
 
 
-def ingest(uploads: DataFrame, target: str, timeout: int = 240) -> None:
+def ingest(uploads: DataFrame, target: str) -> None:
     """Upload batches into a Parquet table, each name once: rows already there are skipped."""
 
     def add(batch: DataFrame, _: int) -> None:
@@ -72,7 +78,4 @@ def ingest(uploads: DataFrame, target: str, timeout: int = 240) -> None:
             fresh = fresh.join(spark.read.parquet(target).select("name"), "name", "left_anti")
         fresh.write.mode("append").parquet(target)
 
-    query = uploads.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint_folder(uploads.sparkSession)).trigger(availableNow=True).start()
-    if not query.awaitTermination(timeout):
-        query.stop()
-        raise TimeoutError("the stream did not end in time")
+    uploads.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint_folder(uploads.sparkSession)).trigger(availableNow=True).start().awaitTermination()

@@ -6,7 +6,7 @@ import re
 import oracle
 import pytest
 
-from lectern.operators import duration
+from lectern.operators import duration, folders
 from lectern.plans import dialect, lint, registry
 
 NO_ROWS = {"rate_flag_superset"}  # an invariant: nothing escapes the flags
@@ -28,24 +28,24 @@ def n_sentences(text):
     return len(re.split(r"(?<=[.!?])\s+", text))
 
 
-def test_speech_rewrite_all_returns_every_sentence(spark, sf_dir):
+def test_speech_rewrite_returns_every_sentence(spark, sf_dir):
     want = {r.doc_id: n_sentences(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = collections.defaultdict(set)
-    for r in registry.QUERIES["speech_rewrite_all"](spark, sf_dir).collect():
+    for r in registry.QUERIES["speech_rewrite"](spark, sf_dir).collect():
         got[r.doc_id].add(r.sn)
     assert max(want.values()) > 16 and got == {i: set(range(1, n + 1)) for i, n in want.items()}
 
 
-def test_link_mail_strip_all_reaches_every_sentence(spark, tmp_path):
+def test_link_mail_strip_reaches_every_sentence(spark, tmp_path):
     texts = ["One. Two www.a.org/x here. Three me@b.org there. Four. Five http://c.org/?q=1 or d.e@f.co.uk end.", "See doi:10.1/x now."]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.doc_id, r.sn): r.s for r in registry.QUERIES["link_mail_strip_all"](spark, str(tmp_path)).collect()}
+    got = {(r.doc_id, r.sn): r.s for r in registry.QUERIES["link_mail_strip"](spark, str(tmp_path)).collect()}
     assert set(got) == {(i, k + 1) for i, t in enumerate(texts) for k in range(n_sentences(t))}
     assert not any("@" in s or "www." in s or "http" in s or "doi:" in s for s in got.values())
     assert got[0, 2].startswith("Two  here.") and got[0, 5].startswith("Five  or  end.")
 
 
-def test_folder_move_guard_all_checks_every_folder(spark, sf_dir):
+def test_folder_move_guard_checks_every_folder(spark, sf_dir):
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet").collect()
     parent = {1 + r.r_regionkey: 0 for r in read("region")} | {100 + n.n_nationkey: 1 + n.n_regionkey for n in read("nation")} | {1000 + c.c_custkey: 100 + c.c_nationkey for c in read("customer")}
 
@@ -57,7 +57,7 @@ def test_folder_move_guard_all_checks_every_folder(spark, sf_dir):
         return True
 
     targets = {i: (1 + i % 5, i, 100 + i % 25)[i % 3] for i in parent}
-    got = registry.QUERIES["folder_move_guard_all"](spark, sf_dir).collect()
+    got = registry.QUERIES["folder_move_guard"](spark, sf_dir).collect()
     assert sorted((r.folder, r.target, r.allowed) for r in got) == sorted((i, t, allowed(i, t)) for i, t in targets.items())
 
 
@@ -81,28 +81,33 @@ def test_filters_reach_the_scan(spark, sf_dir):
 
 
 def test_duration_model_is_robust(spark):
-    """The unrolled trimming gives the line that a plain loop gives."""
-    import numpy as np
-
-    rng = np.random.default_rng(0)
-    clean = [p for p in range(9000) if p % 50 <= 4 and p % 40 <= 12 and p % 30 <= 6]
-    rows = [(k, j + 1, int(rng.choice(clean)), float(rng.integers(1, 50))) for k in range(100) for j in range(7)]
-    table = spark.createDataFrame([(k, int(p), 1, j, q, 1.0, "A", "F", None) for k, j, p, q in rows], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz")
-    table.createOrReplaceTempView("lineitem")
-    x, y = [], []
-    for _, j, p, q in rows:
-        if p % 101 and p % 103 and p % 59 and 16 * q + p % 40 >= 40 and 1 - (p % 30) / 120 >= 0.95 and (p % 50) / 2000 <= 0.002 and (p % 40) / 250 <= 0.05:
-            x.append(16 * q + p % 40)
-            y.append(2 * q if j == 7 else q)
-    x, y = np.array(x), np.array(y)
-    for _ in range(3):
-        a, b = np.polyfit(x, y, 1)
-        res = y - (a * x + b)
-        keep = np.abs(res - np.median(res)) < 4 * max(np.median(np.abs(res - np.median(res))), 1e-6)
-        x, y = x[keep], y[keep]
-    a, b = np.polyfit(x, y, 1)
-    got = duration.fit(spark.sql(dialect.spark_sql(f"SELECT chars, secs FROM {lint.ROWS} r WHERE {lint.CLEAN}")))
-    assert got.n == len(x) >= 50 and abs(got.a - a) < 1e-9 and abs(got.b - b) < 1e-7
+    """Rows on a line of 0.06 seconds a character and 0.25, a few far off: these go, and the line stays."""
+    rows = [(float(c), 0.06 * c + 0.25 + (0.001 if c % 2 else -0.001)) for c in range(100, 200)] + [(150.0 + k, 40.0 + k) for k in range(7)]
+    got = duration.fit(spark.createDataFrame(rows, "chars double, secs double"))
+    assert got.n == 100 and abs(got.a - 0.06) < 1e-4 and abs(got.b - 0.25) < 1e-2
+    # Under 50 rows at the start: a fixed rate; a trim that leaves fewer keeps the line.
+    few = duration.fit(spark.createDataFrame(rows[:49], "chars double, secs double"))
+    assert (few.a, few.b) == (1 / 15.5, 0.0)
+    assert duration.fit(spark.createDataFrame([], "chars double, secs double")).n == 0
+    wild = [(float(c), 0.06 * c) for c in range(100, 145)] + [(100.0 + k, 30.0 + 5 * k) for k in range(9)]
+    kept = duration.fit(spark.createDataFrame(wild, "chars double, secs double"))
+    assert kept.n == 45 and abs(kept.a - 0.06) < 1e-9
+
+
+def test_names_take_the_smallest_free_number(spark, tmp_path):
+    rows = [(1, "blue x"), (2, "blue y"), (4, "blue z"), (50, "blue q"), (100, "blue r"), (7, "red a")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.id: r.name for r in registry.QUERIES["unique_names"](spark, str(tmp_path)).collect()}
+    # 50 and 100 are "blue (2)" by themselves; 2 is free of neither "blue" nor "blue (2)".
+    assert got == {1: "blue", 2: "blue (3)", 4: "blue (4)", 50: "blue (2)", 100: "blue (2) (2)", 7: "red"}
+
+
+def test_folders_of_any_depth(spark):
+    rows = [(k, k - 1, f"f{k}") for k in range(1, 41)] + [(100, 101, "x"), (101, 100, "y")]
+    got = folders.ancestors(spark.createDataFrame(rows, "id long, parent_id long, name string"))
+    by = {r.folder: (r.path, r.depth) for r in folders.paths(got).collect()}
+    assert by[40] == ("/".join(f"f{k}" for k in range(1, 41)), 40) and by[1] == ("f1", 1) and set(by) == {*range(1, 41), 100, 101}
+    assert folders.ancestors(got.limit(0).selectExpr("folder AS id", "at AS parent_id", "name")).count() == 0
 
 
 def test_median_by_histograms(spark, monkeypatch):
