@@ -36,8 +36,8 @@ class Settings:
     grams: tuple[int, ...] = (3, 4)
     epochs: int = 4
     rate: float = 1.0
-    sample: int = 8000
-    sample_bytes: int = 1 << 16
+    sample: int = 5000
+    sample_bytes: int = 1 << 14
     threshold: float = 0.7
     seed: int = 7
 
@@ -160,7 +160,7 @@ def train(texts: list[str | None], labels: list[int], s: Settings) -> tuple[np.n
     for text in texts:
         f = features(text, s)
         at, n = np.unique(f, return_counts=True)
-        rows.append((at.astype(np.int32), (n / max(1, len(f))).astype(np.float32)))
+        rows.append((at.astype(np.uint32), n.astype(np.uint32), np.float32(max(1, len(f)))))
     vectors = draw.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
     out = np.zeros((s.dim, 2), dtype=np.float32)
     bias = np.zeros(2, dtype=np.float32)
@@ -168,7 +168,8 @@ def train(texts: list[str | None], labels: list[int], s: Settings) -> tuple[np.n
     steps, total = 0, max(1, s.epochs * len(rows))
     for _ in range(s.epochs):
         for k in draw.permutation(len(rows)):
-            at, w = rows[k]
+            at, n, size = rows[k]
+            w = n / size
             rate = np.float32(s.rate * (1 - steps / total))
             steps += 1
             mean = w @ vectors[at]
