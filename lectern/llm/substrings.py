@@ -36,7 +36,7 @@ class Sizes:
 
     round: int = 1 << 20
     opened: int = 1 << 22
-    bucket_bytes: int = 1 << 24
+    bucket_bytes: int = 1 << 23
     most_buckets: int = 1 << 16
     sent: int = 4
 
@@ -309,8 +309,9 @@ def gathered(batches):
 def answers(made: DataFrame, buckets: int, widths: tuple[int, ...], again: bool, sizes: Sizes) -> DataFrame:
     """(key, found) from the rows of a count."""
     runs = "counts binary, ids binary, nths binary, starts binary"
-    told = made.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda x: counted(x, buckets, widths, again, sizes), f"part long, {runs}")
-    return told.repartition("part").sortWithinPartitions("part").mapInArrow(gathered, "key long, found array<struct<nth:long,starts:binary>>")
+    task = F.pmod(F.col("bucket"), F.lit(buckets)).cast("int")
+    told = made.repartitionById(buckets, task).sortWithinPartitions("bucket").mapInArrow(lambda x: counted(x, buckets, widths, again, sizes), f"part long, {runs}")
+    return told.repartitionById(buckets, F.col("part").cast("int")).sortWithinPartitions("part").mapInArrow(gathered, "key long, found array<struct<nth:long,starts:binary>>")
 
 
 def intervals(found: bytes | None, n_words: int, window: int) -> list[tuple[int, int]]:
@@ -356,13 +357,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     must be below 2^62.  An empty table gives an empty result; other columns are not
     looked at.
 
-    The number of buckets follows the bytes of all texts (``Sizes.bucket_bytes``).
+    The number of buckets, each a task, follows the bytes of all texts (``Sizes.bucket_bytes``).
     """
     text = F.col(text_col).cast("string")
     own = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *(F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)))
     rows = own.withColumn("order", shared.order_id("id", "text"))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = min(sizes.most_buckets, max(1, -(-total // sizes.bucket_bytes), 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    buckets = min(sizes.most_buckets, max(1, -(-total // sizes.bucket_bytes)))
 
     made = rows.select("order", "text").mapInArrow(lambda x: sent(x, window, buckets, sizes), "bucket long, hashes binary, counts binary, ids binary, nths binary, starts binary")
     near = answers(made, buckets, (sizes.sent,), False, sizes).select("key", F.col("found")[0]["starts"].alias("near"))
