@@ -108,7 +108,7 @@ def compared_pairs(members: DataFrame, p: Passes) -> DataFrame:
     ``members``: (width, component, node, v, copies).  A group of several blocks is dealt
     out as pairs of blocks, so that no task holds more than two of them at once."""
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / p.block).cast("long").alias("n")).where("n > 1")
-    dealt = members.join(sizes, "component", "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long"))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")))
+    dealt = shared.with_few(members, sizes, "component").withColumn("n", F.coalesce("n", F.lit(1).cast("long"))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     dealt = dealt.select("width", "component", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "copies", "v")
 

@@ -71,6 +71,13 @@ def stars(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np
     return pairs[:, 0], pairs[:, 1]
 
 
+def with_few(df: DataFrame, few: DataFrame, key: str, most: int = 100_000) -> DataFrame:
+    """``df`` with the columns of ``few``, one row a key, null where it has none.  Up to
+    ``most`` rows are sent to all tasks, so that no key of ``df`` is gathered; more are joined."""
+    few = cut(few, "few")
+    return df.join(F.broadcast(few) if few.count() <= most else few, key, "left")
+
+
 #: Parts that the links of one node are dealt into.
 SALTS = 16
 

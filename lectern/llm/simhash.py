@@ -262,7 +262,7 @@ def near_links(keyed: DataFrame, radius: int, *, block: int = 4096) -> DataFrame
     task's worth of its own."""
     prints = [c for c in keyed.columns if c not in ("key", "node")]
     large = keyed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("n"))
-    dealt = keyed.join(large, "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    dealt = shared.with_few(keyed, large, "key").withColumn("n", F.coalesce("n", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", *prints)
     parts = len(prints)
@@ -352,7 +352,7 @@ def checked_links(docs: DataFrame, labels: DataFrame, size: int, similarity: flo
     texts = docs.join(labels, "node").select(F.col("component").alias("c"), F.col("node").alias("id"), "text")
     some = shared.cut(texts.mapInArrow(sets, "c long, id long, hashes binary, n_hashes long").where("n_hashes > 0"), "sets")
     large = some.groupBy("c").agg(F.ceil(F.greatest(F.count("*") / rows, F.sum("n_hashes") / hashes)).cast("int").alias("n")).where("n > 1")
-    dealt = some.join(large, "c", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    dealt = shared.with_few(some, large, "c").withColumn("n", F.coalesce("n", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.select("c", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "id", "hashes")
     return dealt.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(compare, "a long, b long")
