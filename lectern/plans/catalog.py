@@ -67,8 +67,6 @@ PLANS = {
     "title_metadata_agreement": f"""SELECT page_id, CAST(SIZE(m) AS BIGINT) AS meta_words, 10 * SIZE(FILTER(m, FN w: @[array_contains(p, w)@|list_contains(p, w)@])) >= 8 * SIZE(m) AND SIZE(m) > 0 AS printed,
       SIZE(FILTER(m, FN w: NOT @[array_contains(p, w)@|list_contains(p, w)@])) = 0 AND SIZE(@[array_distinct(p)@|list_distinct(p)@]) > SIZE(@[array_distinct(m)@|list_distinct(m)@]) AS strict_subset
       FROM (SELECT page_id, {META} AS m, {PRINTED} AS p FROM {TITLES} t) x""",
-    "title_verdict": """SELECT page_id, CASE WHEN NOT junk AND agrees THEN 'metadata' WHEN length(layout) BETWEEN 1 AND 250 AND instr(layout, ' ') > 0 AND letters >= 0.6 * length(layout) THEN 'layout' ELSE 'none' END AS source
-      FROM (SELECT page_id, layout, length(RX(layout, R'[^\\p{L}]', '')) AS letters, page_id % 5 = 0 AS junk, meta = layout AS agrees FROM @TITLES t) x""".replace("@TITLES", TITLES),
     "title_line_groups": """SELECT doc, CAST(grp AS BIGINT) AS grp, count(*) AS lines, CAST(sum(ink) AS BIGINT) AS ink, CAST(min(y) AS BIGINT) AS top FROM (
       SELECT *, sum(CASE WHEN prev IS NULL OR y - prev > 9 OR starts_by THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY y, i) AS grp FROM (
         SELECT doc, i, y, ink, starts_by, lag(y) OVER (PARTITION BY doc ORDER BY y, i) AS prev FROM (SELECT doc, i, CAST(10 * i + pk % 7 AS BIGINT) AS y, sk AS ink, flag = 'R' AND status = 'F' AND i = 3 AS starts_by FROM @CHUNKS c) a) b) d

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions import chunks, speech
+from lectern.functions import chunks, speech, titles
 from lectern.operators import alignment, duration, layout, notes
 from lectern.plans import dialect, lint
 from lectern.streaming import jobs
@@ -138,6 +138,13 @@ def title_recase(spark, sf_dir):
     return pages.select("page_id", run(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.regexp_replace("html", "<[^>]*>", " ")).alias("title"))
 
 
+def title_verdict(spark, sf_dir):
+    """Metadata title or heading of every page, by the rules of ``functions.titles``."""
+    pages = opened(spark, sf_dir, "pages")
+    parts = [F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.regexp_replace("html", "<[^>]*>", " ")]
+    return pages.select("page_id", titles.title_of(*parts).alias("t")).select("page_id", "t.title", "t.source")
+
+
 def title_rejoin(spark, sf_dir):
     @F.pandas_udf("string")
     def run(title: pd.Series, text: pd.Series) -> pd.Series:
@@ -163,7 +170,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_rows, chunk_plan, chunk_quote, chunk_rate_flag, sentence_span_rows, needle_token_rows, token_alignment, alignment_confidence, edit_op_summary, note_reanchor_fuzzy, baseline_rows,
-        unicode_text, repairable_tokens, spoken_numbers, compared_words, title_recase, title_rejoin, ngram_dup_coverage, duration_model, predicted_seconds, stream_latest_state, stream_progress,
+        unicode_text, repairable_tokens, spoken_numbers, compared_words, title_recase, title_verdict, title_rejoin, ngram_dup_coverage, duration_model, predicted_seconds, stream_latest_state, stream_progress,
     )
 }
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.functions import chunks, speech
+from lectern.functions import chunks, speech, titles
 from lectern.operators import alignment, layout, notes, schedule
 from lectern.sources import formats
 from lectern.streaming import jobs
@@ -63,6 +63,19 @@ def test_titles():
     assert speech.capitalised("“the end: a start? yes") == "“The end: A start? Yes" and speech.tidy_title(" A\n ( b ) , c ∗†") == "A (b), c"
 
 
+def test_title_verdicts():
+    forms = layout.spellings("We use QLoRA. QLoRA is small.")
+    found = lambda meta, lay, page="": titles.detected(meta, lay, lay, page, forms)
+    assert found("Deep Learning Today", "Deep Learning Today") == ("Deep Learning Today", "metadata")
+    assert found("Deep Learning | The Site", "deep learning") == ("Deep Learning", "metadata")
+    assert found("QLORA IN PRACTICE", "QLoRA in practice") == ("QLoRA in Practice", "metadata")
+    for meta in ("final1.dvi", "Microsoft Word - Deep Learning", "untitled", "Deep Learn...", "Something else here", "", None):
+        assert found(meta, "Deep Learning Today") == ("Deep Learning Today", "layout")
+    assert found("Deep Learning", "Deep Learning Today") == ("Deep Learning Today", "layout")
+    assert found("Deep Learning Today", "", "on deep learning today") == ("Deep Learning Today", "metadata")
+    assert found(None, "Word") is found(None, "x " * 200) is found(None, "1 2 3 ab 45 67 89") is found(None, None) is None
+
+
 def test_chunks_and_spans():
     """Sentences fill chunks of up to 400 characters; longer ones are cut at the last comma past the middle, or at 400."""
     found = lambda text: [c for c, _, _ in chunks.chunk_spans(text)]
