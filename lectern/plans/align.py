@@ -10,8 +10,9 @@ CONF = f"(SELECT doc, ord % 4 AS i, count_if(matched) / CAST(greatest(count(*),
 FILL = """coalesce(CASE WHEN p IS NOT NULL AND conf < 0.6 THEN p END, CASE WHEN p IS NULL THEN coalesce(@[last_value(p) IGNORE NULLS@|last_value(p IGNORE NULLS)@] OVER (PARTITION BY {0} ORDER BY {1} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
   @[first_value(p) IGNORE NULLS@|first_value(p IGNORE NULLS)@] OVER (PARTITION BY {0} ORDER BY {1} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) END)"""
 PAGED = f"(SELECT doc, i, CASE WHEN pk % 3 = 0 THEN NULL ELSE i + pk % 2 END AS p, (sk % 10) / CAST(10 AS DOUBLE) AS conf FROM {CHUNKS} c)"
-NOTES = "(SELECT item_id AS note, text AS quote FROM benchmark)"
-FOUND = f"(SELECT n.note, n.quote, d.doc_id AS pid, d.text, instr(d.text, n.quote) AS pos FROM {NOTES} n JOIN documents d ON instr(d.text, n.quote) > 0)"
+#: A note quotes its own document; every seventh quote is not there any more.
+NOTES = "(SELECT doc_id AS note, doc_id AS pid, CASE WHEN doc_id % 7 = 0 THEN concat('gone: ', source) ELSE substr(text, CAST(1 + doc_id % 200 AS INT), 60) END AS quote FROM documents)"
+FOUND = f"(SELECT n.note, n.quote, n.pid, d.text, instr(d.text, n.quote) AS pos FROM {NOTES} n JOIN documents d ON d.doc_id = n.pid AND instr(d.text, n.quote) > 0)"
 CLICKS = "(SELECT o_orderkey AS doc, o_orderkey % 3 AS page, CAST(o_orderkey % 500 AS DOUBLE) AS px, CAST(o_custkey % 700 AS DOUBLE) AS py FROM orders)"
 LOG = "(SELECT user_id AS doc, ts, event_id, event_type AS state FROM events)"
 
