@@ -53,8 +53,6 @@ PLANS = {
     "item_state": f"SELECT id, {STATE} AS state FROM {LIBRARY} l",
     "library_totals": f"""SELECT count_if(kind = 'paper') AS docs, count_if(kind <> 'paper') AS files, count_if({STATE} = 'narrated') AS ready, CAST(sum(chunks) AS BIGINT) AS chunks,
       CAST(sum(suspects) AS BIGINT) AS suspects, round(sum(secs), 1) AS secs FROM {LIBRARY} l WHERE NOT deleted""",
-    "library_sort": f"SELECT id, row_number() OVER (ORDER BY ord, created, id) AS manual, row_number() OVER (ORDER BY lower(title) DESC, id) AS z_to_a, row_number() OVER (ORDER BY created DESC, id) AS newest FROM {ITEMS} i WHERE NOT deleted",
-    "manifest_view": f"SELECT id, title, coalesce(nullif(ord, 0), row_number() OVER (ORDER BY ord, created, id)) AS place FROM {ITEMS} i WHERE kind = 'paper' AND NOT deleted",
     "manifest_import": f"SELECT o_orderkey AS id, o_orderpriority AS authors FROM orders o @[LEFT ANTI@|ANTI@] JOIN (SELECT id FROM {ITEMS} i WHERE id % 4 <> 1) k ON k.id = o.o_orderkey",
     "next_order": f"SELECT folder_id, coalesce(max(ord), 0) + 1 AS next_ord FROM {ITEMS} i WHERE NOT deleted GROUP BY folder_id",
     "id_conflicts": f"SELECT DISTINCT w.id FROM (SELECT p_partkey AS id FROM part) w @[LEFT SEMI@|SEMI@] JOIN (SELECT id FROM {ITEMS} i UNION ALL SELECT doc FROM {CHUNKS} c UNION ALL SELECT user_id FROM events) h ON h.id = w.id",
@@ -73,3 +71,10 @@ PLANS = {
       GROUP BY doc, grp HAVING count(*) <= 4""".replace("@CHUNKS", CHUNKS),
     "acquisition_routing": "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'have' WHEN p_partkey % 5 = 0 THEN 'drop-in' WHEN p_partkey % 3 = 0 THEN 'NEED' WHEN s_suppkey IS NULL THEN 'FAIL' ELSE 'get' END AS route FROM part LEFT JOIN supplier ON s_suppkey = p_partkey",
 }
+
+#: One order of a whole table: as SQL a window in one task, which serves as the oracle only;
+#: ``lectern.operators.ranking`` gives the places in Spark.
+ORDER_SQL = {
+    "library_sort": f"SELECT id, row_number() OVER (ORDER BY ord, created, id) AS manual, row_number() OVER (ORDER BY lower(title) DESC, id) AS z_to_a, row_number() OVER (ORDER BY created DESC, id) AS newest FROM {ITEMS} i WHERE NOT deleted",
+    "manifest_view": f"SELECT id, title, coalesce(nullif(ord, 0), row_number() OVER (ORDER BY ord, created, id)) AS place FROM {ITEMS} i WHERE kind = 'paper' AND NOT deleted",
+}

@@ -70,7 +70,6 @@ PLANS = {
     "tier1_classify": f"SELECT doc, i, cls, CASE WHEN is_empty THEN 'empty' WHEN absent THEN 'absent' ELSE {FLAGS} END AS flags, dur_ratio, cps FROM {TIER1} t",
     "tier2_adjudicate": f"SELECT doc, i, cls AS before, {TIER2} AS cls FROM {ASR} t",
     "lint_rollup": ROLLUP,
-    "lint_doc_rank": f"SELECT row_number() OVER (ORDER BY severity DESC, bad_secs DESC, doc) AS place, doc, severity FROM ({ROLLUP}) r",
     "lint_totals": f"SELECT coalesce(cls, 'TOTAL') AS cls, count(*) AS chunks, sum(secs) / 60 AS minutes, count(DISTINCT doc) AS docs FROM {TIER1} t GROUP BY ROLLUP (cls)",
     "calibration_percentiles": " UNION ALL ".join(f"SELECT '{m}' AS metric, " + ", ".join(f"PCT(CAST({m} AS DOUBLE), {p / 100}) AS p{p}" for p in (1, 5, 50, 95, 99)) + f" FROM {RATED} r WHERE NOT is_empty AND NOT absent" for m in METRICS),
     "rate_flag": f"SELECT doc, i, cps FROM {RATED} r WHERE cps NOT BETWEEN {CPS_LOW} AND {CPS_HIGH}",
@@ -84,3 +83,9 @@ PLANS = {
     "repair_decision": f"""SELECT doc, i, CASE WHEN words < 3 THEN 'skip' WHEN same THEN 'skip' WHEN was_ok THEN 'skip' WHEN now_ok THEN 'repaired' ELSE 'rejected' END AS verdict FROM (
       SELECT doc, i, pk % 9 AS words, pk % 13 = 0 AS same, cps BETWEEN 8 AND 32 AND ratio BETWEEN 0.75 AND 1.35 AND hits = 0 AS was_ok, cps * 0.9 BETWEEN 8 AND 32 AND ratio * 1.1 BETWEEN 0.75 AND 1.35 AS now_ok FROM {ASR} t) x""",
 }
+
+#: One order of a whole table: as SQL a window in one task, which serves as the oracle only;
+#: ``lectern.operators.ranking`` gives the places in Spark.
+ORDER_SQL = {
+    "lint_doc_rank": f"SELECT row_number() OVER (ORDER BY severity DESC, bad_secs DESC, doc) AS place, doc, severity FROM ({ROLLUP}) r",
+}

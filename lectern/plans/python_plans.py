@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import chunks, speech, titles
-from lectern.operators import alignment, duration, layout, notes
-from lectern.plans import dialect, lint
+from lectern.operators import alignment, duration, layout, notes, ranking
+from lectern.plans import catalog, dialect, lint, timeline
 from lectern.streaming import jobs
 
 
@@ -127,6 +127,30 @@ def predicted_seconds(spark, sf_dir):
     return rows.select("doc", "i", F.round(duration.predicted(rows, m), 4).alias("pred_secs"))
 
 
+def lint_doc_rank(spark, sf_dir):
+    rows = dialect.run(spark, sf_dir, lint.ROLLUP).select("doc", "severity", "bad_secs")
+    return ranking.ranked(rows, [F.desc("severity"), F.desc("bad_secs"), F.asc("doc")]).select("place", "doc", "severity")
+
+
+def library_sort(spark, sf_dir):
+    """Places of an item in the three sort modes."""
+    items = dialect.run(spark, sf_dir, f"SELECT id, ord, created, lower(title) AS title FROM {catalog.ITEMS} i WHERE NOT deleted")
+    for mode, order in (("manual", ["ord", "created", "id"]), ("z_to_a", [F.desc("title"), F.asc("id")]), ("newest", [F.desc("created"), F.asc("id")])):
+        items = ranking.ranked(items, order, mode)
+    return items.select("id", "manual", "z_to_a", "newest")
+
+
+def manifest_view(spark, sf_dir):
+    items = dialect.run(spark, sf_dir, f"SELECT id, title, ord, created FROM {catalog.ITEMS} i WHERE kind = 'paper' AND NOT deleted")
+    return ranking.ranked(items, ["ord", "created", "id"], "at").select("id", "title", F.expr("coalesce(nullif(ord, 0), at)").alias("place"))
+
+
+def chapters(spark, sf_dir):
+    docs = dialect.run(spark, sf_dir, f"SELECT doc, sum(secs) AS secs, count(*) AS n FROM {timeline.CHUNKS} c GROUP BY doc")
+    timed = ranking.ranked(docs, ["doc"], "place", {"secs_before": "secs", "chunks_before": "n"})
+    return timed.select("doc", "place", F.expr("(secs_before * 100 + 18 * chunks_before) / 100").alias("starts"))
+
+
 def title_recase(spark, sf_dir):
     """Upper-cased titles of pages in the spellings of the page's own text."""
 
@@ -170,7 +194,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_rows, chunk_plan, chunk_quote, chunk_rate_flag, sentence_span_rows, needle_token_rows, token_alignment, alignment_confidence, edit_op_summary, note_reanchor_fuzzy, baseline_rows,
-        unicode_text, repairable_tokens, spoken_numbers, compared_words, title_recase, title_verdict, title_rejoin, ngram_dup_coverage, duration_model, predicted_seconds, stream_latest_state, stream_progress,
+        unicode_text, repairable_tokens, spoken_numbers, compared_words, title_recase, title_verdict, title_rejoin, ngram_dup_coverage, duration_model, predicted_seconds, lint_doc_rank, library_sort, manifest_view, chapters, stream_latest_state, stream_progress,
     )
 }
 
@@ -183,5 +207,5 @@ ORACLE = {
       t AS (SELECT doc_id, n, pos, count(*) OVER (PARTITION BY doc_id, array_to_string(w[pos + 1:pos + 4], ' ')) AS times FROM g),
       c AS (SELECT doc_id, n, count(DISTINCT pos + k) AS covered FROM t, range(4) r(k) WHERE times > 1 GROUP BY doc_id, n)
       SELECT w.doc_id, coalesce(round(c.covered / c.n, 3), 0) AS coverage FROM w LEFT JOIN c ON c.doc_id = w.doc_id""",
-    **{name: dialect.duck_sql(plan) for name, plan in lint.MODEL_SQL.items()},
+    **{name: dialect.duck_sql(plan) for name, plan in (lint.MODEL_SQL | lint.ORDER_SQL | catalog.ORDER_SQL | timeline.ORDER_SQL).items()},
 }

@@ -23,9 +23,6 @@ PLANS = {
     "planned_vs_present": f"SELECT doc, i, secs, i >= planned AS extra, secs IS NULL AS absent FROM {PRESENT} p",
     "missing_indices": f"SELECT doc, i FROM {PRESENT} p WHERE secs IS NULL",
     "timeline": f"SELECT doc, i, start_cs / 100 AS t_start, (start_cs + secs * 100) / 100 AS t_end FROM {TIMED} t",
-    "chapters": f"""SELECT doc, place, (secs_before * 100 + 18 * chunks_before) / 100 AS starts FROM (SELECT doc, row_number() OVER (ORDER BY doc) AS place,
-      coalesce(sum(secs) OVER (ORDER BY doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS secs_before, coalesce(sum(n) OVER (ORDER BY doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunks_before
-      FROM (SELECT doc, sum(secs) AS secs, count(*) AS n FROM {CHUNKS} c GROUP BY doc) d) x""",
     "assembly_report": f"SELECT doc, count(secs) AS chunks, count_if(secs IS NULL) AS missing, count(CASE WHEN flag = 'R' THEN 1 END) AS suspects, sum(coalesce(secs, 0)) / 60 AS minutes FROM {PRESENT} p GROUP BY doc",
     "chunk_at_time": f"SELECT p.doc, p.t / 100 AS t, max(c.i) AS i FROM {PROBES} p LEFT JOIN {TIMED} c ON c.doc = p.doc AND c.start_cs <= p.t GROUP BY p.doc, p.t",
     "segment_at_time": f"""SELECT p.doc, coalesce(min(CASE WHEN p.pos < c.hi THEN c.seg END), max(c.seg)) AS seg FROM (SELECT o_orderkey AS doc, (o_orderkey % 100) / CAST(100 AS DOUBLE) AS pos FROM orders) p
@@ -39,3 +36,11 @@ PLANS = {
     "edge_silence": f"SELECT vec_id, CAST(coalesce(min(CASE WHEN NOT quiet THEN k END), count(*)) AS BIGINT) AS lead, CAST(coalesce(count(*) - 1 - max(CASE WHEN NOT quiet THEN k END), count(*)) AS BIGINT) AS trail FROM {QUIET} q GROUP BY vec_id",
     "cost_estimate": f"SELECT count(*) AS chunks, sum(secs) AS secs, sum(secs) / (16 * 5) AS est_secs FROM {CHUNKS} c WHERE flag = 'R'",
 }
+
+#: One order of a whole table: as SQL a window in one task, which serves as the oracle only;
+#: ``lectern.operators.ranking`` gives the places in Spark.
+ORDER_SQL = {
+    "chapters": f"""SELECT doc, place, (secs_before * 100 + 18 * chunks_before) / 100 AS starts FROM (SELECT doc, row_number() OVER (ORDER BY doc) AS place,
+      coalesce(sum(secs) OVER (ORDER BY doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS secs_before, coalesce(sum(n) OVER (ORDER BY doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunks_before
+      FROM (SELECT doc, sum(secs) AS secs, count(*) AS n FROM {CHUNKS} c GROUP BY doc) d) x""",
+}

@@ -118,3 +118,42 @@ def test_median_by_histograms(spark, monkeypatch):
     for values in (rng.standard_normal(1001), rng.integers(0, 3, 500).astype(float), np.full(40, 7.0), rng.standard_normal(300) * 1e-9 + 5):
         df = spark.createDataFrame([(float(v),) for v in values], "x double")
         assert duration.median(df, df.x, len(values)) == np.median(values)
+
+
+def test_places_of_a_whole_table(spark):
+    """Against a sort in Python: nulls first, a value that half of the rows share, sums with nulls, no rows."""
+    from pyspark.sql import functions as F
+
+    from lectern.operators import ranking
+
+    rows = [(k, None if k % 10 == 3 else 0 if k % 2 else k % 7, None if k % 5 == 0 else k % 11, "x" * (k % 3)) for k in range(500)]
+    df = spark.createDataFrame(rows, "id long, ord long, n long, x string").repartition(6)
+    got = {r.id: r for r in ranking.ranked(df, ["ord", "id"], "at", {"n_before": "n"}).collect()}
+    before = 0
+    for place, (k, _, n, x) in enumerate(sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0])), 1):
+        assert (got[k].at, got[k].n_before, got[k].x) == (place, before, x)
+        before += n or 0
+    last = ranking.ranked(df, [F.desc("ord"), F.desc("id")]).collect()
+    assert sorted(r.place for r in last) == list(range(1, 501)) and {r.id for r in last if r.place > 450} == {k for k, o, *_ in rows if o is None}
+    assert ranking.ranked(df.limit(0), ["id"], "at", {"s": "n"}).collect() == []
+    assert [r.at for r in ranking.ranked(df.where("id = 4"), ["id"], "at").collect()] == [1]
+    with pytest.raises(ValueError):
+        ranking.ranked(df.withColumnRenamed("x", "_at"), ["id"])
+
+
+def test_whole_orders_take_no_single_task_window(spark, sf_dir):
+    for name in ("chapters", "library_sort", "manifest_view", "lint_doc_rank"):
+        plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "row_number" not in plan, name
+
+
+def test_wanted_names_match_whole_or_in_part(spark, tmp_path):
+    """Against the rule in Python: a name that is wanted as a whole wins, else all that hold it; the empty one is held by all."""
+    parts = [(97, "ab"), (501, "abcdef"), (502, "xabcy"), (1002, "zzz"), (1503, "q r"), (3, None), (5, "")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([("abc",), ("bc",), ("c",), ("ABC",), ("q r",), ("none such",), ("",), (None,)], "s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    wanted = {"abc", "bc", "c", "ABC", "q r", "none such", "", "ab"} | {n[: k % 7] for k, n in parts if n and k % 501 == 0}
+    names = {k: n for k, n in parts if n is not None}
+    want = {(w, k) for w in wanted for k, n in names.items() if (n == w if w in names.values() else w in n)}
+    got = [(r.only, r.p_partkey) for r in registry.QUERIES["select_exact_else_substring"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
