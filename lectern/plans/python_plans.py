@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import chunks, speech, titles
-from lectern.operators import alignment, duration, layout, notes, ranking
-from lectern.plans import catalog, dialect, lint, timeline
+from lectern.operators import alignment, duration, extraction, layout, notes, ranking
+from lectern.plans import catalog, dialect, lint, text, timeline
 from lectern.streaming import jobs
 
 
@@ -85,9 +85,9 @@ def baseline_rows(spark, sf_dir):
 
 
 def unicode_text(spark, sf_dir):
-    text = opened(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("ﬁne 𝜋𝑥 α+β Å² 42% "), F.col("text"))).otherwise(F.col("text")).alias("text"))
+    texts = opened(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("ﬁne 𝜋𝑥 α+β Å² 42% "), F.col("text"))).otherwise(F.col("text")).alias("text"))
     fold, bare, odd, clean = (speech.batched(f, k) for f, k in ((speech.fold, "string"), (speech.skeleton, "string"), (speech.exotic_count, "int"), (speech.clean_for_speech, "string")))
-    return text.select("doc_id", F.sha1(fold("text")).alias("folded_sha1"), F.sha1(bare("text")).alias("skeleton_sha1"), odd("text").alias("exotic_n"), F.sha1(clean("text")).alias("spoken_sha1"))
+    return texts.select("doc_id", F.sha1(fold("text")).alias("folded_sha1"), F.sha1(bare("text")).alias("skeleton_sha1"), odd("text").alias("exotic_n"), F.sha1(clean("text")).alias("spoken_sha1"))
 
 
 def repairable_tokens(spark, sf_dir):
@@ -127,6 +127,12 @@ def predicted_seconds(spark, sf_dir):
     return rows.select("doc", "i", F.round(duration.predicted(rows, m), 4).alias("pred_secs"))
 
 
+def spoken_text(spark, sf_dir):
+    """The spoken text of every volume, as a digest, with the figures of its extraction."""
+    pages = dialect.run(spark, sf_dir, f"SELECT book AS doc, page, text FROM {text.PAGES} p")
+    return extraction.spoken_texts(pages).withColumn("text", F.sha1("text")).withColumnRenamed("text", "text_sha1")
+
+
 def lint_doc_rank(spark, sf_dir):
     rows = dialect.run(spark, sf_dir, lint.ROLLUP).select("doc", "severity", "bad_secs")
     return ranking.ranked(rows, [F.desc("severity"), F.desc("bad_secs"), F.asc("doc")]).select("place", "doc", "severity")
@@ -194,7 +200,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_rows, chunk_plan, chunk_quote, chunk_rate_flag, sentence_span_rows, needle_token_rows, token_alignment, alignment_confidence, edit_op_summary, note_reanchor_fuzzy, baseline_rows,
-        unicode_text, repairable_tokens, spoken_numbers, compared_words, title_recase, title_verdict, title_rejoin, ngram_dup_coverage, duration_model, predicted_seconds, lint_doc_rank, library_sort, manifest_view, chapters, stream_latest_state, stream_progress,
+        unicode_text, repairable_tokens, spoken_numbers, compared_words, title_recase, title_verdict, title_rejoin, ngram_dup_coverage, duration_model, predicted_seconds, spoken_text, lint_doc_rank, library_sort, manifest_view, chapters, stream_latest_state, stream_progress,
     )
 }
 
