@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import chunks, speech, titles
-from lectern.operators import alignment, duration, extraction, layout, notes, ranking
+from lectern.operators import alignment, duration, extraction, layout, notes, ranking, title_layout
 from lectern.plans import catalog, dialect, lint, text, timeline
 from lectern.streaming import jobs
 
@@ -80,7 +80,8 @@ def note_reanchor_fuzzy(spark, sf_dir):
 
 
 def baseline_rows(spark, sf_dir):
-    lines = opened(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_suppkey") % 40).cast("double").alias("y0"), (F.col("l_partkey") % 500).cast("double").alias("x0"), (10.0 + F.col("l_linenumber") % 2).alias("size"), F.col("l_returnflag").alias("text"))
+    x0, y0, size = (F.col("l_partkey") % 500).cast("double"), (F.col("l_suppkey") % 40).cast("double"), 10.0 + F.col("l_linenumber") % 2
+    lines = opened(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), y0.alias("y0"), x0.alias("x0"), (x0 + 6).alias("x1"), (y0 + size).alias("y1"), size.alias("size"), F.col("l_returnflag").alias("text"))
     return layout.baseline_rows(lines)
 
 
@@ -175,6 +176,21 @@ def title_verdict(spark, sf_dir):
     return pages.select("page_id", titles.title_of(*parts).alias("t")).select("page_id", "t.title", "t.source")
 
 
+def title_detection(spark, sf_dir):
+    """Title of every page from spans: its <h1> as two lines at 17 points under a banner, beside a
+    rotated stamp and above a by-line; on some pages a label, a clipped line or an OCR slip."""
+    pages = opened(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("meta"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("h"), F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
+    half, turn = F.expr("greatest(1, length(h) div 2)"), F.col("page_id") % 5
+    line = lambda text, size, y, dir_y=0.0, x1=400.0: F.struct(text.alias("text"), F.lit(size).alias("size"), F.lit(y).alias("y0"), F.lit(dir_y).alias("dir_y"), F.lit(x1).alias("x1") if isinstance(x1, float) else x1.alias("x1"))
+    lines = F.array(
+        line(F.lit("Journal of Pages"), 9.0, 40.0), line(F.when(turn == 1, F.lit("Article")), 24.0, 60.0), line(F.substring("h", F.lit(1), half), 17.0, 100.0, x1=F.when(turn == 2, 700.0).otherwise(400.0)),
+        line(F.expr("substr(h, greatest(1, length(h) div 2) + 1)"), 17.2, 121.0), line(F.lit("by Some One"), 17.0, 142.0), line(F.lit("stamp:1234 sideways"), 30.0, 300.0, 1.0),
+    )
+    spans = pages.select(F.col("page_id").alias("doc"), F.posexplode(lines).alias("line", "s")).where("s.text IS NOT NULL").select("doc", "line", F.lit(0).alias("span"), "s.text", "s.size", "s.dir_y", F.lit(72.0).alias("x0"), "s.y0", "s.x1", (F.col("s.y0") + F.col("s.size")).alias("y1"))
+    docs = pages.select(F.col("page_id").alias("doc"), F.when(turn == 3, F.lit("final1.dvi")).otherwise(F.col("meta")).alias("meta"), F.col("text").alias("first"), F.col("text").alias("both"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+    return title_layout.detected_titles(spans, docs).withColumnRenamed("doc", "page_id")
+
+
 def title_rejoin(spark, sf_dir):
     @F.pandas_udf("string")
     def run(title: pd.Series, text: pd.Series) -> pd.Series:
@@ -200,7 +216,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_rows, chunk_plan, chunk_quote, chunk_rate_flag, sentence_span_rows, needle_token_rows, token_alignment, alignment_confidence, edit_op_summary, note_reanchor_fuzzy, baseline_rows,
-        unicode_text, repairable_tokens, spoken_numbers, compared_words, title_recase, title_verdict, title_rejoin, ngram_dup_coverage, duration_model, predicted_seconds, spoken_text, lint_doc_rank, library_sort, manifest_view, chapters, stream_latest_state, stream_progress,
+        unicode_text, repairable_tokens, spoken_numbers, compared_words, title_recase, title_verdict, title_detection, title_rejoin, ngram_dup_coverage, duration_model, predicted_seconds, spoken_text, lint_doc_rank, library_sort, manifest_view, chapters, stream_latest_state, stream_progress,
     )
 }
 

@@ -122,8 +122,11 @@ def test_notes_follow_their_quote(spark):
 
 
 def test_baseline_rows():
-    rows = layout.merged([(10.0, 50.0, 10.0, "b"), (10.5, 5.0, 10.0, "a"), (10.2, 90.0, 5.0, "small"), (30.0, 5.0, 10.0, "c")])
-    assert [[x[3] for x in r] for r in rows] == [["a", "b"], ["small"], ["c"]]
+    lines = [(10.0, 50.0, 80.0, 20.0, 10.0, "b"), (10.5, 5.0, 49.0, 20.5, 10.0, "a"), (10.2, 90.0, 99.0, 20.2, 5.0, "small"), (30.0, 5.0, 9.0, 40.0, 10.0, "c"), (30.0, 12.0, 20.0, 40.0, 10.0, "d")]
+    rows = layout.merged(lines)
+    assert [sorted(x[5] for x in r) for r in rows] == [["a", "b"], ["small"], ["c", "d"]]
+    # 1 between a and b is less than 0.15 of the size; 3 between c and d is more.
+    assert [layout.row_of(r) for r in rows] == [(10.0, 20.0, 80.0, 10.0, 2, "ab"), (10.2, 20.2, 99.0, 5.0, 1, "small"), (30.0, 40.0, 20.0, 10.0, 2, "c d")]
 
 
 def test_longest_first_schedule(spark):
