@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import chunks, speech, titles
 from lectern.operators import alignment, duration, extraction, layout, notes, ranking, title_layout
+from lectern.operators import lint as lint_operators
 from lectern.plans import catalog, dialect, lint, text, timeline
 from lectern.streaming import jobs
 
@@ -128,6 +129,25 @@ def predicted_seconds(spark, sf_dir):
     return rows.select("doc", "i", F.round(duration.predicted(rows, m), 4).alias("pred_secs"))
 
 
+def measured_rows(spark, sf_dir):
+    """The lint rows as the operators take them, with ligatures, odd characters and transcripts by key."""
+    return dialect.run(spark, sf_dir, f"""SELECT doc, i, chars, secs, src_known, CASE WHEN is_empty THEN 'empty' WHEN absent THEN 'no such file' END AS error, math_frac, digit_frac, speakable_frac,
+      CASE WHEN pk % 401 = 0 THEN 0.01 ELSE 0.0 END AS lig_frac, max_tok, CASE WHEN pk % 53 = 0 THEN 1 ELSE 0 END AS exotic_n, CAST(rms_db AS DOUBLE) AS rms_db, silence_frac, max_gap, edge AS lead_sil, 0.0 AS trail_sil,
+      CAST(clip_frac AS DOUBLE) AS clip_frac, CAST(dc AS DOUBLE) AS dc, CASE WHEN sk % 5 <> 0 THEN ratio END AS ratio, ins_rate, del_rate, dup_cov, hits AS codepoint_hits FROM {lint.ASR} r""")
+
+
+def lint_tiers(spark, sf_dir):
+    """Classes of both tiers by the fitted line."""
+    first = lint_operators.tier1(measured_rows(spark, sf_dir), duration.fit(lint_rows(spark, sf_dir, lint.CLEAN)))
+    return lint_operators.tier2(first.withColumn("before", F.col("cls"))).select("doc", "i", "before", "cls", F.array_join("flags", ",").alias("flags"))
+
+
+def lint_summary(spark, sf_dir):
+    rows = lint_operators.tier2(lint_operators.tier1(measured_rows(spark, sf_dir), duration.fit(lint_rows(spark, sf_dir, lint.CLEAN))))
+    planned = opened(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), (1 + F.col("o_orderkey") % 8).alias("planned"))
+    return lint_operators.summarised(rows, planned).withColumn("classes", F.to_json("classes"))
+
+
 def spoken_text(spark, sf_dir):
     """The spoken text of every volume, as a digest, with the figures of its extraction."""
     pages = dialect.run(spark, sf_dir, f"SELECT book AS doc, page, text FROM {text.PAGES} p")
@@ -216,7 +236,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_rows, chunk_plan, chunk_quote, chunk_rate_flag, sentence_span_rows, needle_token_rows, token_alignment, alignment_confidence, edit_op_summary, note_reanchor_fuzzy, baseline_rows,
-        unicode_text, repairable_tokens, spoken_numbers, compared_words, title_recase, title_verdict, title_detection, title_rejoin, ngram_dup_coverage, duration_model, predicted_seconds, spoken_text, lint_doc_rank, library_sort, manifest_view, chapters, stream_latest_state, stream_progress,
+        unicode_text, repairable_tokens, spoken_numbers, compared_words, title_recase, title_verdict, title_detection, title_rejoin, ngram_dup_coverage, duration_model, predicted_seconds, lint_tiers, lint_summary, spoken_text, lint_doc_rank, library_sort, manifest_view, chapters, stream_latest_state, stream_progress,
     )
 }
 
