@@ -41,6 +41,8 @@ PLANS = {
       SELECT m.folder, m.target, m.folder <> m.target AND u.at IS NULL AS allowed FROM moves m LEFT JOIN up u ON u.folder = m.target AND u.at = m.folder""",
     "folder_delete_reparent": f"""SELECT f.id, coalesce(g.parent_id, f.parent_id) AS parent_id, f.name FROM {FOLDERS} f LEFT JOIN (SELECT id, parent_id FROM {FOLDERS} d WHERE id BETWEEN 100 AND 124 AND id % 4 = 0) g ON g.id = f.parent_id
       WHERE NOT (f.id BETWEEN 100 AND 124 AND f.id % 4 = 0)""",
+    # A deleted folder's items move up, as its folders do.
+    "folder_delete_items": f"SELECT i.id, coalesce(g.parent_id, i.folder_id) AS folder_id, g.id IS NOT NULL AS moved FROM {ITEMS} i LEFT JOIN (SELECT id, parent_id FROM {FOLDERS} d WHERE id > 1000 AND id % 4 = 0) g ON g.id = i.folder_id",
     "folder_status": f"SELECT kind, deleted, count(*) AS items, count(DISTINCT folder_id) AS folders FROM {ITEMS} i GROUP BY kind, deleted",
     "ensure_path": """SELECT DISTINCT concat_ws('/', CASE WHEN k >= 1 THEN a END, CASE WHEN k >= 2 THEN b END, CASE WHEN k >= 3 THEN c END) AS path, k AS depth FROM (
       SELECT r_name AS a, n_name AS b, c_mktsegment AS c FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey) p CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) t
@@ -50,12 +52,16 @@ PLANS = {
       SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY CASE WHEN known THEN 0 ELSE 1 END, id) AS n FROM {NAMES} n) x
       LEFT JOIN (SELECT stem, @[sort_array(collect_list(k))@|list_sort(list(k))@] AS taken FROM (SELECT DISTINCT RX(base, R' \\([0-9]+\\)$', '') AS stem, CAST(@[regexp_extract(base, r' \\(([0-9]+)\\)$', 1)@|regexp_extract(base, ' \\(([0-9]+)\\)$', 1)@] AS BIGINT) AS k FROM {NAMES} m WHERE MATCH(base, R' \\([0-9]+\\)$')) y GROUP BY stem) t ON t.stem = x.base""",
     "library_items": f"SELECT id, folder, title, CAST(chunks AS BIGINT) AS chunks, CAST(suspects AS BIGINT) AS suspects, has_pdf, has_wav FROM {LIBRARY} l WHERE NOT deleted",
+    "library_search": " UNION ALL ".join(f"SELECT '{q}' AS q, id FROM {ITEMS} i WHERE NOT deleted AND (instr(lower(title), lower('{q}')) > 0 OR instr(lower(authors), lower('{q}')) > 0 OR instr(lower(orig_name), lower('{q}')) > 0)" for q in ("Urgent", "ORDER 77", "_9.pdf")),
     "item_state": f"SELECT id, {STATE} AS state FROM {LIBRARY} l",
     "library_totals": f"""SELECT count_if(kind = 'paper') AS docs, count_if(kind <> 'paper') AS files, count_if({STATE} = 'narrated') AS ready, CAST(sum(chunks) AS BIGINT) AS chunks,
       CAST(sum(suspects) AS BIGINT) AS suspects, round(sum(secs), 1) AS secs FROM {LIBRARY} l WHERE NOT deleted""",
     "manifest_import": f"SELECT o_orderkey AS id, o_orderpriority AS authors FROM orders o @[LEFT ANTI@|ANTI@] JOIN (SELECT id FROM {ITEMS} i WHERE id % 4 <> 1) k ON k.id = o.o_orderkey",
     "next_order": f"SELECT folder_id, coalesce(max(ord), 0) + 1 AS next_ord FROM {ITEMS} i WHERE NOT deleted GROUP BY folder_id",
-    "id_conflicts": f"SELECT DISTINCT w.id FROM (SELECT p_partkey AS id FROM part) w @[LEFT SEMI@|SEMI@] JOIN (SELECT id FROM {ITEMS} i UNION ALL SELECT doc FROM {CHUNKS} c UNION ALL SELECT user_id FROM events) h ON h.id = w.id",
+    # An id is taken by an item, a source or dropped file, audio, cached chunks, a text or an attachment.
+    "id_conflicts": f"""SELECT w.id, h.places FROM (SELECT p_partkey AS id FROM part) w JOIN (SELECT id, count(DISTINCT place) AS places FROM (
+      SELECT id, 'item' AS place FROM {ITEMS} i UNION ALL SELECT doc, 'cache' FROM {CHUNKS} c UNION ALL SELECT user_id, 'audio' FROM events UNION ALL SELECT doc_id, 'text' FROM documents
+      UNION ALL SELECT page_id, 'source' FROM pages UNION ALL SELECT item_id, 'attachment' FROM benchmark) x GROUP BY id) h ON h.id = w.id""",
     "gated_mutation": f"SELECT m.id, m.parent FROM (SELECT o_orderkey AS id, 1000 + o_custkey * 2 AS parent FROM orders) m @[LEFT SEMI@|SEMI@] JOIN {FOLDERS} f ON f.id = m.parent",
     "item_upsert": f"SELECT coalesce(n.id, i.id) AS id, coalesce(n.title, i.title) AS title, n.id IS NOT NULL AS changed FROM {ITEMS} i FULL OUTER JOIN (SELECT p_partkey * 3 AS id, p_name AS title FROM part) n ON n.id = i.id",
     "title_source_migration": f"""SELECT id, CASE WHEN kind = 'attachment' THEN 'filename' WHEN authors <> 'uploaded' THEN 'manifest' WHEN title = CASE WHEN id % 8 = 0 THEN title ELSE '' END THEN 'pending' ELSE 'manual' END AS title_source FROM {ITEMS} i""",

@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions import chunks, speech, titles
-from lectern.operators import alignment, duration, extraction, layout, notes, ranking, title_layout
+from lectern.functions import chunks, names, speech, titles
+from lectern.operators import alignment, duration, extraction, layout, notes, ranking, schedule, title_layout
 from lectern.operators import lint as lint_operators
 from lectern.plans import catalog, dialect, lint, text, timeline
 from lectern.streaming import jobs
@@ -129,6 +129,17 @@ def predicted_seconds(spark, sf_dir):
     return rows.select("doc", "i", F.round(duration.predicted(rows, m), 4).alias("pred_secs"))
 
 
+def content_disposition(spark, sf_dir):
+    header = speech.batched(names.content_disposition, "string")
+    return opened(spark, sf_dir, "documents").select("doc_id", header(F.concat(F.translate(F.substring("text", 1, 60), "\n", " "), F.lit(": ü/“x”.pdf"))).alias("header"))
+
+
+def worker_schedule(spark, sf_dir):
+    """Nations are the jobs, their customers the cost: the fold is for some thousand jobs."""
+    jobs_ = opened(spark, sf_dir, "nation").join(opened(spark, sf_dir, "customer"), F.expr("n_nationkey = c_nationkey")).groupBy(F.col("n_nationkey").cast("long").alias("doc_id")).agg(F.count("*").alias("cost"))
+    return schedule.lpt(jobs_, 4)
+
+
 def measured_rows(spark, sf_dir):
     """The lint rows as the operators take them, with ligatures, odd characters and transcripts by key."""
     return dialect.run(spark, sf_dir, f"""SELECT doc, i, chars, secs, src_known, CASE WHEN is_empty THEN 'empty' WHEN absent THEN 'no such file' END AS error, math_frac, digit_frac, speakable_frac,
@@ -236,7 +247,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_rows, chunk_plan, chunk_quote, chunk_rate_flag, sentence_span_rows, needle_token_rows, token_alignment, alignment_confidence, edit_op_summary, note_reanchor_fuzzy, baseline_rows,
-        unicode_text, repairable_tokens, spoken_numbers, compared_words, title_recase, title_verdict, title_detection, title_rejoin, ngram_dup_coverage, duration_model, predicted_seconds, lint_tiers, lint_summary, spoken_text, lint_doc_rank, library_sort, manifest_view, chapters, stream_latest_state, stream_progress,
+        unicode_text, repairable_tokens, spoken_numbers, compared_words, title_recase, title_verdict, title_detection, title_rejoin, ngram_dup_coverage, duration_model, predicted_seconds, content_disposition, worker_schedule, lint_tiers, lint_summary, spoken_text, lint_doc_rank, library_sort, manifest_view, chapters, stream_latest_state, stream_progress,
     )
 }
 
