@@ -11,31 +11,31 @@ from lectern.streaming.jobs import checkpoint_folder
 def ancestors(folders: DataFrame) -> DataFrame:
     """(folder, at, steps, name): every folder with itself and all folders above it, ``steps``
     levels up, from (id, parent_id, name).  A parent that is no folder ends the way, and so
-    does a folder met before, so that a circle ends too.  Null ids have no ancestors."""
-    up = folders.where("id IS NOT NULL").select(F.col("id").alias("folder"), F.col("parent_id").alias("at"), F.lit(1).alias("steps"))
-    up = up.join(folders.select(F.col("id").alias("at")), "at", "left_semi").where("at <> folder").select("folder", "at", "steps")
-    folder, size, level = checkpoint_folder(folders.sparkSession), -1, 0
-
-    def cut(df: DataFrame) -> DataFrame:
+    does a folder met before on it, so that a circle ends too.  Rows count as SQL's recursive
+    union counts them: several rows of one id are several folders, each with its own way, and
+    a null id is a folder that nothing lies in."""
+    spark, root = folders.sparkSession, checkpoint_folder(folders.sparkSession)
+    last = folders.select(F.col("id").alias("folder"), F.col("id").alias("at"), F.lit(0).alias("steps"), "name", F.col("parent_id").alias("parent"), F.array("id").alias("way"))
+    known, reach = last, 1
+    while True:
+        # known: fewer steps than reach; last: one step fewer.  So the next are made of one of each, in one way only.
+        met = F.coalesce(F.arrays_overlap("a.way", "b.way"), F.lit(False))
+        far = last.alias("a").join(known.alias("b"), F.col("a.parent") == F.col("b.folder")).where(~met)
+        far = far.select("a.folder", "b.at", (F.col("a.steps") + F.col("b.steps") + 1).alias("steps"), "b.name", "b.parent", F.concat("a.way", "b.way").alias("way"))
         # Written and read again: joined with itself, a plan would double every level.
-        nonlocal level
-        level += 1
-        df.write.parquet(f"{folder}/{level}")
-        return folders.sparkSession.read.schema(df.schema).parquet(f"{folder}/{level}")
-
-    known = cut(up)
-    while (now := known.count()) != size:
-        size = now
-        far = known.alias("a").join(known.alias("b"), F.col("a.at") == F.col("b.folder")).select("a.folder", "b.at", (F.col("a.steps") + F.col("b.steps")).alias("steps"))
-        known = cut(known.unionByName(far).where("at <> folder").groupBy("folder", "at").agg(F.min("steps").alias("steps")))
-    own = folders.where("id IS NOT NULL").select(F.col("id").alias("folder"), F.col("id").alias("at"), F.lit(0).alias("steps"))
-    return own.unionByName(known).join(folders.select(F.col("id").alias("at"), "name"), "at").select("folder", "at", "steps", "name")
+        far.write.parquet(f"{root}/{reach}")
+        far = spark.read.schema(far.schema).parquet(f"{root}/{reach}")
+        known, reach = known.unionByName(far), 2 * reach
+        last = far.where(F.col("steps") == reach - 1)
+        if last.isEmpty():
+            return known.select("folder", "at", "steps", "name")
 
 
 def paths(above: DataFrame) -> DataFrame:
-    """(folder, path, depth) of ``ancestors``: names from the top down."""
+    """(folder, path, depth) of ``ancestors``: names from the top down, null where none has one."""
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("steps")).alias("place"), "name")))
-    return above.groupBy("folder").agg(F.array_join(F.transform(ordered, lambda x: x["name"]), "/").alias("path"), F.count("*").alias("depth"))
+    path = F.when(F.count("name") > 0, F.array_join(F.transform(ordered, lambda x: x["name"]), "/"))
+    return above.groupBy("folder").agg(path.alias("path"), F.count("*").alias("depth"))
 
 
 def movable(moves: DataFrame, above: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import chunks, names, speech, titles
-from lectern.operators import alignment, duration, extraction, layout, notes, ranking, schedule, title_layout
+from lectern.operators import alignment, duration, extraction, folders, layout, notes, ranking, schedule, title_layout
 from lectern.operators import lint as lint_operators
 from lectern.plans import catalog, dialect, lint, text, timeline
 from lectern.streaming import jobs
@@ -189,6 +189,10 @@ def chapters(spark, sf_dir):
     return timed.select("doc", "place", F.expr("(secs_before * 100 + 18 * chunks_before) / 100").alias("starts"))
 
 
+def folder_ancestors(spark, sf_dir):
+    return folders.paths(folders.ancestors(dialect.run(spark, sf_dir, f"SELECT id, parent_id, name FROM {catalog.FOLDERS} f")))
+
+
 def title_recase(spark, sf_dir):
     """Upper-cased titles of pages in the spellings of the page's own text."""
 
@@ -247,7 +251,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_rows, chunk_plan, chunk_quote, chunk_rate_flag, sentence_span_rows, needle_token_rows, token_alignment, alignment_confidence, edit_op_summary, note_reanchor_fuzzy, baseline_rows,
-        unicode_text, repairable_tokens, spoken_numbers, compared_words, title_recase, title_verdict, title_detection, title_rejoin, ngram_dup_coverage, duration_model, predicted_seconds, content_disposition, worker_schedule, lint_tiers, lint_summary, spoken_text, lint_doc_rank, library_sort, manifest_view, chapters, stream_latest_state, stream_progress,
+        unicode_text, repairable_tokens, spoken_numbers, compared_words, title_recase, title_verdict, title_detection, title_rejoin, ngram_dup_coverage, duration_model, predicted_seconds, content_disposition, worker_schedule, lint_tiers, lint_summary, spoken_text, lint_doc_rank, library_sort, manifest_view, chapters, folder_ancestors, stream_latest_state, stream_progress,
     )
 }
 
@@ -260,5 +264,5 @@ ORACLE = {
       t AS (SELECT doc_id, n, pos, count(*) OVER (PARTITION BY doc_id, array_to_string(w[pos + 1:pos + 4], ' ')) AS times FROM g),
       c AS (SELECT doc_id, n, count(DISTINCT pos + k) AS covered FROM t, range(4) r(k) WHERE times > 1 GROUP BY doc_id, n)
       SELECT w.doc_id, coalesce(round(c.covered / c.n, 3), 0) AS coverage FROM w LEFT JOIN c ON c.doc_id = w.doc_id""",
-    **{name: dialect.duck_sql(plan) for name, plan in (lint.MODEL_SQL | lint.ORDER_SQL | catalog.ORDER_SQL | timeline.ORDER_SQL).items()},
+    **{name: dialect.duck_sql(plan) for name, plan in (lint.MODEL_SQL | lint.ORDER_SQL | catalog.ORDER_SQL | catalog.TREE_SQL | timeline.ORDER_SQL).items()},
 }
