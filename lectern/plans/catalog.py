@@ -36,8 +36,6 @@ WORDS = "FILTER(SPLIT(lower({0}), R'[^\\p{{L}}\\p{{N}}]+'), FN w: length(w) > {1
 META, PRINTED = WORDS.format("CASE WHEN page_id % 5 = 0 THEN concat('untitled scan ', meta) ELSE meta END", 2), WORDS.format("layout", 0)
 
 PLANS = {
-    "folder_move_guard": f"""WITH RECURSIVE {ANCESTORS}, moves AS (SELECT id AS folder, CASE WHEN id % 3 = 0 THEN 1 + id % 5 WHEN id % 3 = 1 THEN id ELSE 100 + id % 25 END AS target FROM {FOLDERS} f)
-      SELECT m.folder, m.target, m.folder <> m.target AND u.at IS NULL AS allowed FROM moves m LEFT JOIN up u ON u.folder = m.target AND u.at = m.folder""",
     "folder_delete_reparent": f"""SELECT f.id, coalesce(g.parent_id, f.parent_id) AS parent_id, f.name FROM {FOLDERS} f LEFT JOIN (SELECT id, parent_id FROM {FOLDERS} d WHERE id BETWEEN 100 AND 124 AND id % 4 = 0) g ON g.id = f.parent_id
       WHERE NOT (f.id BETWEEN 100 AND 124 AND f.id % 4 = 0)""",
     # A deleted folder's items move up, as its folders do.
@@ -77,10 +75,15 @@ PLANS = {
     "acquisition_routing": "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'have' WHEN p_partkey % 5 = 0 THEN 'drop-in' WHEN p_partkey % 3 = 0 THEN 'NEED' WHEN s_suppkey IS NULL THEN 'FAIL' ELSE 'get' END AS route FROM part LEFT JOIN supplier ON s_suppkey = p_partkey",
 }
 
+#: Moves of folders: into regions, into themselves, into nations.
+MOVES = f"SELECT id AS folder, CASE WHEN id % 3 = 0 THEN 1 + id % 5 WHEN id % 3 = 1 THEN id ELSE 100 + id % 25 END AS target FROM {FOLDERS} f"
+
 #: Walks up the folders: as SQL a recursion, which Spark ends at a million rows, so it serves as
 #: the oracle only; ``lectern.operators.folders`` walks in Spark.
 TREE_SQL = {
     "folder_ancestors": f"WITH RECURSIVE {ANCESTORS} SELECT folder, @[listagg(name, '/') WITHIN GROUP (ORDER BY steps DESC)@|string_agg(name, '/' ORDER BY steps DESC)@] AS path, count(*) AS depth FROM up GROUP BY folder",
+    "folder_move_guard": f"""WITH RECURSIVE {ANCESTORS}, moves AS ({MOVES})
+      SELECT m.folder, m.target, m.folder <> m.target AND u.at IS NULL AS allowed FROM moves m LEFT JOIN up u ON u.folder = m.target AND u.at = m.folder""",
 }
 
 #: One order of a whole table: as SQL a window in one task, which serves as the oracle only;

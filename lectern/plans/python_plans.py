@@ -193,6 +193,11 @@ def folder_ancestors(spark, sf_dir):
     return folders.paths(folders.ancestors(dialect.run(spark, sf_dir, f"SELECT id, parent_id, name FROM {catalog.FOLDERS} f")))
 
 
+def folder_move_guard(spark, sf_dir):
+    above = folders.ancestors(dialect.run(spark, sf_dir, f"SELECT id, parent_id, name FROM {catalog.FOLDERS} f"))
+    return folders.movable(dialect.run(spark, sf_dir, catalog.MOVES), above)
+
+
 def title_recase(spark, sf_dir):
     """Upper-cased titles of pages in the spellings of the page's own text."""
 
@@ -251,7 +256,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_rows, chunk_plan, chunk_quote, chunk_rate_flag, sentence_span_rows, needle_token_rows, token_alignment, alignment_confidence, edit_op_summary, note_reanchor_fuzzy, baseline_rows,
-        unicode_text, repairable_tokens, spoken_numbers, compared_words, title_recase, title_verdict, title_detection, title_rejoin, ngram_dup_coverage, duration_model, predicted_seconds, content_disposition, worker_schedule, lint_tiers, lint_summary, spoken_text, lint_doc_rank, library_sort, manifest_view, chapters, folder_ancestors, stream_latest_state, stream_progress,
+        unicode_text, repairable_tokens, spoken_numbers, compared_words, title_recase, title_verdict, title_detection, title_rejoin, ngram_dup_coverage, duration_model, predicted_seconds, content_disposition, worker_schedule, lint_tiers, lint_summary, spoken_text, lint_doc_rank, library_sort, manifest_view, chapters, folder_ancestors, folder_move_guard, stream_latest_state, stream_progress,
     )
 }
 

@@ -169,8 +169,9 @@ def test_folders_of_any_number(spark, sf_dir, tmp_path):
         (tmp_path / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
     spark.conf.set("spark.sql.cteRecursionRowLimit", "1000")
     try:
-        got = {q: registry.QUERIES[q](spark, str(tmp_path)) for q in ("folder_ancestors",)}
+        got = {q: registry.QUERIES[q](spark, str(tmp_path)) for q in ("folder_ancestors", "folder_move_guard")}
         assert got["folder_ancestors"].count() == 2000 + 30 + 3
+        oracle.compare(spark, lambda *_: got["folder_move_guard"], registry.ORACLE["folder_move_guard"], str(tmp_path))
         # Rows of one id stand in an open order in SQL's path.
         open_ = "folder IS NULL OR folder NOT IN (1007, 1008)"
         oracle.compare(spark, lambda *_: got["folder_ancestors"].where(open_), f"SELECT * FROM ({registry.ORACLE['folder_ancestors']}) x WHERE {open_}", str(tmp_path))
