@@ -4,8 +4,10 @@ import collections
 import datetime
 import hashlib
 import io
+import itertools
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -765,6 +767,29 @@ def test_quality_features_are_words_pairs_and_grams():
     assert len(np.intersect1d(quality.features("xx xx", s), quality.features("yy yy", s))) == 1
 
 
+def test_quality_learns_from_counts_in_a_file():
+    """Counts of all rows at once would be some 24 MB here, which the driver would hold to its end."""
+    s = quality.Settings(dim=2, epochs=1)
+
+    def made():
+        draw = np.random.default_rng(3)
+        for _ in range(300):
+            yield draw.integers(33, 127, 4000, dtype=np.uint8).tobytes().decode()
+
+    tracemalloc.start()
+    try:
+        quality.train(made(), [k % 2 for k in range(300)], s)
+        assert tracemalloc.get_traced_memory()[1] < 16e6
+    finally:
+        tracemalloc.stop()
+    counted = quality.Counted([None, "", *itertools.islice(made(), 3), "a b a"], s)
+    for k, text in enumerate([None, "", *itertools.islice(made(), 3), "a b a"]):
+        at, n, size = counted[k]
+        want = np.unique(quality.features(text, s), return_counts=True)
+        assert (at == want[0]).all() and (n == want[1]).all() and size == max(1, n.sum()), k
+    assert len(counted) == 6
+
+
 def test_scores_are_the_plain_forward_pass():
     rng = random.Random(16)
     texts, labels = [words(rng, 20, 40) if k % 2 else words(rng, 20, 40).upper() for k in range(60)], [k % 2 for k in range(60)]
