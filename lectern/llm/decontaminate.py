@@ -204,7 +204,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                     k, item, share, n, size = zip(*found)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k)), pa.array(item), pa.array(share), pa.array(n, pa.int32()), pa.array(size, pa.int32())], ["id", "item_id", "coverage", "n_tiles", "item_tokens"])
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(shared.giving_back(run), schema)
 
     parts = [one(b) for b in blocks(benchmark, item_col, item_text_col, rules)]
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
@@ -225,5 +225,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 clean = [next(against(t, held.value, rules), None) is None for t in texts]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(shared.giving_back(run), schema)
     return docs

@@ -239,7 +239,7 @@ def pack_examples(rows: DataFrame, tokenizer: str, id_col: str = "id", parts_col
             yield out(rows)
 
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long" + ", ids array<int>" * with_ids)
+    return picked.mapInArrow(shared.giving_back(run), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long" + ", ids array<int>" * with_ids)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:

@@ -233,7 +233,7 @@ def scored_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "quality_score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, quality_score double")
+    return docs.mapInArrow(shared.giving_back(run), f"{kinds}, quality_score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", s: Settings = Settings()) -> DataFrame:

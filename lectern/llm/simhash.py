@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["id", "f0"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, f0 long")
+    return rows.mapInArrow(shared.giving_back(run), "id long, f0 long")
 
 
 def bit_planes(prints: np.ndarray) -> np.ndarray:
@@ -266,7 +266,7 @@ def near_links(keyed: DataFrame, radius: int, *, block: int = 4096) -> DataFrame
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", *prints)
     parts = len(prints)
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda batches: streamed_links(batches, parts, radius), "a long, b long")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(shared.giving_back(lambda batches: streamed_links(batches, parts, radius)), "a long, b long")
 
 
 def similar_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -350,12 +350,12 @@ def checked_links(docs: DataFrame, labels: DataFrame, size: int, similarity: flo
             yield links(ids, found)
 
     texts = docs.join(labels, "node").select(F.col("component").alias("c"), F.col("node").alias("id"), "text")
-    some = shared.cut(texts.mapInArrow(sets, "c long, id long, hashes binary, n_hashes long").where("n_hashes > 0"), "sets")
+    some = shared.cut(texts.mapInArrow(shared.giving_back(sets), "c long, id long, hashes binary, n_hashes long").where("n_hashes > 0"), "sets")
     large = some.groupBy("c").agg(F.ceil(F.greatest(F.count("*") / rows, F.sum("n_hashes") / hashes)).cast("int").alias("n")).where("n > 1")
     dealt = shared.with_few(some, large, "c").withColumn("n", F.coalesce("n", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.select("c", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "id", "hashes")
-    return dealt.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(compare, "a long, b long")
+    return dealt.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(shared.giving_back(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
@@ -435,7 +435,7 @@ def described(docs: DataFrame, s: Similar) -> DataFrame:
         if held:
             yield frequent(held)
 
-    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+    return docs.mapInArrow(shared.giving_back(run), ", ".join(f"{c} long" for c in columns))
 
 
 def prefix_keys(docs: DataFrame, frequent: np.ndarray, s: Similar) -> DataFrame:
@@ -462,7 +462,7 @@ def prefix_keys(docs: DataFrame, frequent: np.ndarray, s: Similar) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (keys, names)], ["key", "h"])
 
-    return docs.mapInArrow(run, "key long, h long")
+    return docs.mapInArrow(shared.giving_back(run), "key long, h long")
 
 
 def meetings(batches):
@@ -504,7 +504,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     clashes = sets.groupBy("order").count().where("count > 1").select("order", F.lit(True).alias("clash"))
     node = F.when(F.col("clash"), shared.late_id("h", "g")).otherwise(F.col("order"))
     nodes = shared.cut(sets.join(clashes, "order", "left").select("h", *names, "order", "th", node.alias("node")), "nodes")
-    pairs = prefix_keys(rows, last, s).repartition("key").sortWithinPartitions("key", "h").mapInArrow(meetings, "key long, h long").distinct()
+    pairs = prefix_keys(rows, last, s).repartition("key").sortWithinPartitions("key", "h").mapInArrow(shared.giving_back(meetings), "key long, h long").distinct()
     met = shared.cut(pairs.join(nodes.select("h", "node", *names), "h").select("key", "node", *names), "met")
     labels = shared.cut(shared.components(near_links(met, s.radius)), "labels")
     texts = rows.join(nodes.join(labels, "node", "left_semi").select("order", "th", "node"), ["order", "th"]).select("node", "text")

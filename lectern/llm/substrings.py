@@ -310,8 +310,8 @@ def answers(made: DataFrame, buckets: int, widths: tuple[int, ...], again: bool,
     """(key, found) from the rows of a count."""
     runs = "counts binary, ids binary, nths binary, starts binary"
     task = F.pmod(F.col("bucket"), F.lit(buckets)).cast("int")
-    told = made.repartitionById(buckets, task).sortWithinPartitions("bucket").mapInArrow(lambda x: counted(x, buckets, widths, again, sizes), f"part long, {runs}")
-    return told.repartitionById(buckets, F.col("part").cast("int")).sortWithinPartitions("part").mapInArrow(gathered, "key long, found array<struct<nth:long,starts:binary>>")
+    told = made.repartitionById(buckets, task).sortWithinPartitions("bucket").mapInArrow(shared.giving_back(lambda x: counted(x, buckets, widths, again, sizes)), f"part long, {runs}")
+    return told.repartitionById(buckets, F.col("part").cast("int")).sortWithinPartitions("part").mapInArrow(shared.giving_back(gathered), "key long, found array<struct<nth:long,starts:binary>>")
 
 
 def intervals(found: bytes | None, n_words: int, window: int) -> list[tuple[int, int]]:
@@ -365,12 +365,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = min(sizes.most_buckets, max(1, -(-total // sizes.bucket_bytes)))
 
-    made = rows.select("order", "text").mapInArrow(lambda x: sent(x, window, buckets, sizes), "bucket long, hashes binary, counts binary, ids binary, nths binary, starts binary")
+    made = rows.select("order", "text").mapInArrow(shared.giving_back(lambda x: sent(x, window, buckets, sizes)), "bucket long, hashes binary, counts binary, ids binary, nths binary, starts binary")
     near = answers(made, buckets, (sizes.sent,), False, sizes).select("key", F.col("found")[0]["starts"].alias("near"))
     # Texts meet their windows by id; rows of one id are told apart by their place among them.  Both joins read one shuffle of the texts.
     texts = rows.withColumn("nth", F.row_number().over(Window.partitionBy("order").orderBy("text")).cast("long") - 1)
     asked = texts.join(near, texts["order"] == near["key"], "left").select("order", "nth", "text", "near", *(c for c in texts.columns if c not in ("order", "nth", "text")))
-    made = asked.mapInArrow(lambda x: sent_again(x, window, buckets, sizes), "bucket long, hashes binary, counts binary, ids binary, nths binary, starts binary")
+    made = asked.mapInArrow(shared.giving_back(lambda x: sent_again(x, window, buckets, sizes)), "bucket long, hashes binary, counts binary, ids binary, nths binary, starts binary")
     told = answers(made, buckets, (8, 4), True, sizes)
     both = texts.join(told, texts["order"] == told["key"], "left").select("id", "nth", "text", "found", *(f"keep_{k}" for k in range(len(keep))))
     kinds = [("kept_sha256", pa.string())] if digest else [("intervals", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("text", pa.string())]
@@ -400,4 +400,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ends = "kept_sha256 string" if digest else "intervals array<struct<start:long,end:long>>, text string"
     kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return both.mapInArrow(run, f"id long, n_words long, n_removed long, {ends}{kept}")
+    return both.mapInArrow(shared.giving_back(run), f"id long, n_words long, n_removed long, {ends}{kept}")

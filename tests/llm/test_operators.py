@@ -7,6 +7,8 @@ import io
 import itertools
 import math
 import random
+import subprocess
+import sys
 import tracemalloc
 import zlib
 
@@ -39,6 +41,45 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+#: A task of its own process: how many MB go back to the system only when asked to after it.
+FREED = """
+import ctypes, random, re
+import pyarrow as pa
+from lectern.llm import packing, simhash, shared
+
+class Frame:
+    def mapInArrow(self, run, schema):
+        return run
+
+def held():
+    return int(re.search(r"Anonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+def batches():
+    draw = random.Random(1)
+    for _ in range(4):
+        texts = [" ".join(f"w{draw.randrange(5000)}" for _ in range(400)) for _ in range(2000)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(range(2000)), pa.array(texts)], ["order", "th", "text"])
+
+for _ in simhash.described(Frame(), simhash.Similar())(batches()):
+    pass
+before = held()
+ctypes.CDLL(None).malloc_trim(0)
+print(before - held())
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="asks glibc and /proc")
+def test_tasks_give_back_what_they_freed():
+    said = subprocess.run([sys.executable, "-c", FREED], capture_output=True, text=True, check=True)
+    assert float(said.stdout) < 10
+
+
+def test_giving_back_changes_no_row(spark):
+    rows = spark.range(5000).repartition(3)
+    assert rows.mapInArrow(shared.giving_back(lambda batches: batches), "id long").agg(F.count("id"), F.sum("id")).first() == (5000, 4999 * 2500)
+    assert rows.mapInArrow(shared.giving_back(lambda batches: batches), "id long").limit(3).count() == 3
+
+
 # --- 1 packing
 
 
