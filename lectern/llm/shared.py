@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,19 @@ def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go when it is written, not whenever the
+    driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def give_back() -> None:
     """Returns memory that was freed to the system, which C's and Arrow's allocators
     otherwise keep for themselves."""

@@ -232,7 +232,8 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     for folder in (raw, made):
         files, base = opened(folder)
         files.create_dir(base)
-    paths = shared.cut(write_archives(decided(pages, id_col, url_col, html_col, least_bytes), raw, when, archive_bytes), "paths")
+    with shared.swept(spark):  # else the shuffled pages may lie beside both sets of archives
+        paths = shared.cut(write_archives(decided(pages, id_col, url_col, html_col, least_bytes), raw, when, archive_bytes), "paths")
     out = shared.cut(normalised(spread(paths), made), "archives")
     shared.remove(spark, raw)
     return out

@@ -9,6 +9,7 @@ import math
 import random
 import subprocess
 import sys
+import time
 import tracemalloc
 import zlib
 
@@ -660,6 +661,26 @@ def test_warc_round_trip(spark):
     assert warc.read_back(warc.archive_pages(pages.limit(0))).count() == 0
 
 
+def test_warc_keeps_no_shuffled_pages(spark):
+    """Once archives are written, the pages' shuffle is gone, whenever the driver collects its garbage."""
+    draw = random.Random(5)
+    pages = spark.createDataFrame([(k, "u", draw.randbytes(10_000).hex()) for k in range(200)], "page_id long, url string, html string")
+
+    def shuffled():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getPath(): f.length() for f in map(found.apply, range(found.size())) if f.getName().startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, own = shuffled(), spark.conf.get(key)
+    archives = warc.archive_pages(pages)
+    until = time.time() + 5
+    while (left := sum(n for p, n in shuffled().items() if p not in before)) > 500_000 and time.time() < until:
+        time.sleep(0.2)
+    assert left <= 500_000
+    assert spark.conf.get(key) == own
+    assert warc.read_back(archives).count() == 200
+
+
 def test_warc_pages_without_an_id(spark):
     rows = [(None, "a", "z" * 200), (None, "b", "z" * 200), (None, "c", "y" * 200), (4, "d", "y" * 200)]
     got = warc.read_back(warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
