@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 
 from lectern.llm import shared
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
 
 @dataclass(frozen=True)
 class Limits:
@@ -111,9 +109,9 @@ class WordEncoder(dict):
 
 
 def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if path not in shared.KEPT:
+        shared.KEPT[path] = WordEncoder(path)
+    return shared.KEPT[path]
 
 
 class Item:
@@ -239,7 +237,7 @@ def pack_examples(rows: DataFrame, tokenizer: str, id_col: str = "id", parts_col
             yield out(rows)
 
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(shared.giving_back(run), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long" + ", ids array<int>" * with_ids)
+    return picked.mapInArrow(shared.giving_back(run, keeps=True), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long" + ", ids array<int>" * with_ids)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:

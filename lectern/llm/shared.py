@@ -76,11 +76,24 @@ def give_back() -> None:
         trim(0)
 
 
-def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: What tasks keep in their worker for later ones of their kind.
+KEPT: dict = {}
+
+
+def let_go() -> None:
+    if KEPT:
+        KEPT.clear()
+        give_back()
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for ``mapInArrow``.  Spark keeps a task's Python worker for later ones; what
-    this task has freed is not held beside what they take."""
+    this task has freed is not held beside what they take, nor what is ``KEPT`` beside
+    a task that has no use for it (not ``keeps``)."""
 
     def whole(batches):
+        if not keeps:
+            let_go()
         try:
             yield from run(batches)
         finally:

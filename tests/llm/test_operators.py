@@ -75,6 +75,18 @@ def test_tasks_give_back_what_they_freed():
     assert float(said.stdout) < 10
 
 
+def test_only_packing_keeps_its_encoder():
+    """Tasks that need no encoder do not run beside one that packing left in their worker."""
+    from pyspark import cloudpickle
+
+    def sent(keeps):
+        return cloudpickle.loads(cloudpickle.dumps(shared.giving_back(lambda batches: batches, keeps)))
+
+    encode = packing.encoder(queries.tokenizer_path())
+    assert list(sent(True)(iter([1]))) == [1] and packing.encoder(queries.tokenizer_path()) is encode
+    assert list(sent(False)(iter([1]))) == [1] and not shared.KEPT
+
+
 def test_giving_back_changes_no_row(spark):
     rows = spark.range(5000).repartition(3)
     assert rows.mapInArrow(shared.giving_back(lambda batches: batches), "id long").agg(F.count("id"), F.sum("id")).first() == (5000, 4999 * 2500)
